@@ -1,13 +1,18 @@
 """The queries of this subpackage, and their SQL."""
 
-from . import interleave, line_cleaning
+from . import bpe, interleave, line_cleaning, ngram_join, ogg, secret_scan
 
 QUERIES = {
     "op2_line_cleaning": line_cleaning.op2_line_cleaning,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op7_bpe": bpe.op7_bpe,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
+    "op9_ogg": ogg.op9_ogg,
     "op10_interleave": interleave.op10_interleave,
 }
 
 ORACLES = {
     "op2_line_cleaning": line_cleaning.OP2_SQL,
+    "op4_ngram_join": ngram_join.OP4_SQL,
     "op10_interleave": interleave.OP10_SQL,
 }

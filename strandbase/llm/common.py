@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ class Tables:
 
 def sliced(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in consecutive slices of about ``most`` bytes of text, one row at least."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0), dtype=np.int64)
     ends, at = np.cumsum(sizes), 0
     while at < len(sizes):
         base = ends[at - 1] if at else 0
@@ -91,7 +92,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     else:
         column, kind = column.cast(pa.string()), np.int32
     if column.null_count:
-        column = pa.compute.fill_null(column, "")
+        column = pc.fill_null(column, "")
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     u8 = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and len(off) else np.zeros(0, np.uint8)
