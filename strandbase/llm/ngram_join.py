@@ -12,7 +12,7 @@ to verify, from the document counts of its prefix tokens) is least; a pair is co
 4. Links are found in rounds. In each of the first rounds every posting list proposes pairs of one pivot with the
    others, so a group of copies costs as many pairs as it has members; linked classes become one component. The last
    round proposes, in lists that still hold several components, every pair that crosses components (one side is always outside
-   the list's largest component). Proposed pairs with enough common prefix tokens are verified on their sets.
+   the list's largest component), unless the tokens they can still share are too few. Proposed pairs with enough common prefix tokens are verified on their sets.
    Every link then lies within a component; none is lost.
 
 Defined results: null and empty texts have an empty set, no links, and themselves as component; rows of equal
@@ -235,13 +235,24 @@ def connected(tables: Tables, labels: DataFrame, links: DataFrame) -> DataFrame:
     return tables.keep(labels.join(up, labels.comp == up.k, "left").select("class", F.coalesce("pp", "comp").alias("comp")), "labels")
 
 
+def _fits(threshold: int):
+    """For postings x, y of one token: the token counts for the pair's match count, and the sets can still share enough.
+
+    They share at most the tokens before this one in the shorter list, this one, and those after it in the shorter rest.
+    """
+    x, y = F.col("x"), F.col("y")
+    most = F.least(x["i"], y["i"]) + F.least(x["s"] - x["i"], y["s"] - y["i"])
+    return (F.greatest(x["l"], y["l"]) <= F.least(x["m"], y["m"])) & ((100 + threshold) * most >= threshold * (x["n"] + y["n"]))
+
+
 def _candidates(pairs: DataFrame, threshold: int) -> DataFrame:
-    """Of (a, na, la, ma, b, nb, lb, mb) for each common posting: the pairs with enough of them."""
-    m = F.least("ma", "mb")
-    fit = pairs.where((100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (F.greatest("la", "lb") <= m))
-    first = F.col("a") < F.col("b")
-    ordered = fit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb"), m.alias("m"))
-    return ordered.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("m").alias("m"), F.count("*").alias("hits")).where("hits >= m").drop("hits", "m")
+    """Of x and y for each common posting: the pairs with enough of them."""
+    x, y = F.col("x"), F.col("y")
+    first = x["class"] < y["class"]
+    lower, upper = F.when(first, x).otherwise(y), F.when(first, y).otherwise(x)
+    ordered = pairs.where(_fits(threshold)).select(lower.alias("x"), upper.alias("y"))
+    flat = ordered.select(x["class"].alias("a"), y["class"].alias("b"), x["n"].alias("na"), y["n"].alias("nb"), F.least(x["m"], y["m"]).alias("m"))
+    return flat.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("m").alias("m"), F.count("*").alias("hits")).where("hits >= m").drop("hits", "m")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
@@ -264,28 +275,32 @@ def components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD,
     nodes = tables.keep(_nodes(shared, threshold), "nodes")
     tables.release()
     tables.drop(shared)
-    posted = nodes.select("class", "n", "m", "unique", F.posexplode(F.slice("keys", F.lit(1), F.greatest("prefix", F.lit(0)))).alias("i", "key"))
+    posted = nodes.select("class", "n", "m", "unique", F.size("keys").alias("s"), F.posexplode(F.slice("keys", F.lit(1), F.greatest("prefix", F.lit(0)))).alias("i", "key"))
     # the match count from which a token is in the prefix
     level = F.greatest(F.lit(1), F.col("unique") + F.col("i") - (F.col("n") - F.expr(f"cast(ceil({threshold} * n / 100) as int)")) + 1)
-    posts = tables.keep(posted.select("key", "class", "n", level.cast("int").alias("l"), "m"), "posts")
+    me = F.struct("class", "n", "s", "i", level.cast("int").alias("l"), "m").alias("me")
+    posts = tables.keep(posted.select("key", "class", "unique", me), "posts")
     labels = tables.keep(nodes.select("class", F.col("class").alias("comp")), "labels")
     done = None
     for k in range(rounds + 1):
         comp = labels.select(F.col("class").alias("k"), "comp")
         p = posts.join(comp, posts["class"] == comp.k).drop("k")
+        # a posting whose set shares too few tokens with anyone for the smallest set in the list has no partner there
+        least = p.groupBy("key").agg(F.min("me.n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("lk"), "least")
+        p = p.join(least, p.key == least.lk).where((100 + threshold) * F.col("me.s") >= threshold * (F.col("me.n") + F.col("least"))).drop("lk", "least")
         if k < rounds:
-            me = F.struct("class", "n", "l", "m", "comp")
-            pick_by = F.xxhash64("class", F.lit(k))
-            lists = p.groupBy("key").agg(F.min_by(me, pick_by).alias("v"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("vk"), "v")
-            pairs = p.join(lists, p.key == lists.vk).where("comp <> v.comp")
-            pairs = pairs.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("m").alias("ma"), F.col("v.class").alias("b"), F.col("v.n").alias("nb"), F.col("v.l").alias("lb"), F.col("v.m").alias("mb"))
+            # the first pivot is the set with the smallest share of tokens of its own, which is nearest to all; later ones are random
+            by = F.struct(F.when(F.lit(k == 0), F.col("unique") / F.col("me.n")), F.xxhash64("class", F.lit(k)))
+            lists = p.groupBy("key").agg(F.min_by(F.struct("me", "comp"), by).alias("v")).select(F.col("key").alias("vk"), "v")
+            pairs = p.join(lists, p.key == lists.vk).where("comp <> v.comp").select(F.col("me").alias("x"), F.col("v.me").alias("y"))
         else:
             by = p.groupBy("key", "comp").agg(F.count("*").alias("c"))
             main = by.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select(F.col("key").alias("mk"), "main")
             p = tables.keep(p.join(main, p.key == main.mk).drop("mk"), "mixed")
-            out = p.where("comp <> main").select("key", F.col("class").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("m").alias("ma"), F.col("comp").alias("ca"))
-            all_ = p.select(F.col("key").alias("k2"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("m").alias("mb"), F.col("comp").alias("cb"), "main")
-            pairs = out.join(all_, out.key == all_.k2).where("ca <> cb and (cb = main or a < b)").drop("key", "k2", "ca", "cb", "main")
+            out = p.where("comp <> main").select("key", F.col("me").alias("x"), F.col("comp").alias("cx"))
+            rest = p.select(F.col("key").alias("k2"), F.col("me").alias("y"), F.col("comp").alias("cy"), "main")
+            pairs = out.join(rest, (out.key == rest.k2) & (out.cx != rest.cy) & ((rest.cy == rest.main) | (out.x["class"] < rest.y["class"])) & _fits(threshold))
+            pairs = pairs.select("x", "y")
         fresh = _candidates(pairs, threshold)
         if done is not None:
             fresh = fresh.join(done, ["a", "b"], "left_anti")
