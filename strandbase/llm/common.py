@@ -57,6 +57,17 @@ class Tables:
             path = sc._jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
+    def only(self, df: DataFrame) -> None:
+        """Delete all other tables of this run, and let their shuffle files go."""
+        sc = self.spark.sparkContext
+        kept = {p.rsplit("/", 2)[1] for p in df.inputFiles()}
+        root = sc._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
+        for status in fs.listStatus(root) if fs.exists(root) else []:
+            if status.getPath().getName() not in kept:
+                fs.delete(status.getPath(), True)
+        self.release()
+
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of finished steps."""
         gc.collect()

@@ -25,10 +25,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Tables, map_texts, pick
-from .shingles import class_hashes, shingle_sets, words_of_texts
+from .common import Tables, map_texts, pick, sliced
+from .shingles import class_hashes, mixed, shingle_sets, words_of_texts
 
 WIDTH = 5
 #: Jaccard similarity of at least THRESHOLD / 100.
@@ -71,8 +72,6 @@ def _packed_tokens(df: DataFrame, ranges: int, width: int) -> DataFrame:
         held, size, seen = [], 0, set()
         for batch in batches:
             at = 0
-            from .common import sliced
-
             for part in sliced(batch):
                 words, off = words_of_texts(part["text"])
                 text, token = shingle_sets(words, off, width)
@@ -157,8 +156,6 @@ def _shared_tokens(packed: DataFrame, groups: int) -> DataFrame:
 
 def mixed_key(tok: np.ndarray, where: int) -> np.ndarray:
     """One 64-bit key of a token's 48 bits and its range."""
-    from .shingles import mixed
-
     return mixed(tok ^ mixed(np.full(1, where + 1, np.uint64)))
 
 
@@ -264,9 +261,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     return both.select("a", "b", (100 * common >= threshold * (F.col("na") + F.col("nb") - common)).alias("linked"))
 
 
-def components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, rounds: int = PIVOT_ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """docs (doc_id, text): (doc_id, class, n_shingles) of each row, and (class, comp) of each class that has a link."""
-    tables = Tables(docs.sparkSession)
+def components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, rounds: int = PIVOT_ROUNDS, tables: Tables | None = None) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text): (doc_id, class, n_shingles) of each row, and (class, comp) of each class that may have a link."""
+    tables = tables or Tables(docs.sparkSession)
     members = tables.keep(document_classes(docs, width), "members")
     totals = members.where("n_shingles > 0").groupBy("class").agg(F.max("n_shingles").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ranges, groups = int(totals[0] // RANGE_TOKENS) + 12, int(totals[1] // GROUP_CLASSES) + 12
@@ -331,6 +328,33 @@ def named(members: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("doc_id", "class", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
+    """docs without all but one document of each component (that of the smallest doc_id), with all columns; documents without words stay."""
+    tables, names = Tables(docs.sparkSession), docs.columns
+    members, labels = components(pick(docs, doc_id="doc_id", text="text"), width, threshold, tables=tables)
+    one = lambda doc, cls: F.concat_ws(":", F.coalesce(doc.cast("string"), F.lit("null")), cls.cast("string"))
+    first = named(members, labels).where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = tables.keep(first.groupBy("component_id").agg(F.min("class").alias("class")).select(one(F.col("component_id"), F.col("class")).alias("kept_key")), "kept")
+    tables.only(kept)
+    flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    text, doc = names.index("text"), names.index("doc_id")
+
+    def run(batches):
+        for batch in batches:
+            for part in sliced(batch, f"c{text}"):
+                words, off = words_of_texts(part.column(text))
+                cls = pa.array(_i64(class_hashes(words, off)), mask=np.diff(off) == 0)
+                yield pa.RecordBatch.from_arrays([*part.columns, cls], [*part.schema.names, "word_class"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema)
+    classed = flat.mapInArrow(run, f"{kinds}, word_class long").withColumn("key", one(F.col(f"c{doc}"), F.col("word_class")))
+    wordless = classed.where("word_class is null").select(*flat.columns)
+    found = classed.where("word_class is not null").join(kept, F.col("key") == F.col("kept_key"), "left_semi")
+    # rows that repeat both id and words: one of them stays
+    alone = found.withColumn("rn", F.row_number().over(W.partitionBy("key").orderBy(F.lit(0)))).where("rn = 1").select(*flat.columns)
+    return alone.union(wordless).toDF(*names)
+
+
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
     return join_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
