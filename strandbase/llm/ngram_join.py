@@ -235,11 +235,13 @@ def connected(tables: Tables, labels: DataFrame, links: DataFrame) -> DataFrame:
 def _fits(threshold: int):
     """For postings x, y of one token: the token counts for the pair's match count, and the sets can still share enough.
 
-    They share at most the tokens before this one in the shorter list, this one, and those after it in the shorter rest.
+    A pair of match count m is found by its first m common tokens; at each of them it has at most m - 1 (and no more than stand there)
+    before, and what follows in the shorter rest. Later common tokens need not propose the pair again.
     """
     x, y = F.col("x"), F.col("y")
-    most = F.least(x["i"], y["i"]) + F.least(x["s"] - x["i"], y["s"] - y["i"])
-    return (F.greatest(x["l"], y["l"]) <= F.least(x["m"], y["m"])) & ((100 + threshold) * most >= threshold * (x["n"] + y["n"]))
+    m = F.least(x["m"], y["m"])
+    most = F.least(x["i"], y["i"], m - 1) + F.least(x["s"] - x["i"], y["s"] - y["i"])
+    return (F.greatest(x["l"], y["l"]) <= m) & ((100 + threshold) * most >= threshold * (x["n"] + y["n"]))
 
 
 def _candidates(pairs: DataFrame, threshold: int) -> DataFrame:
@@ -282,9 +284,9 @@ def components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD,
     for k in range(rounds + 1):
         comp = labels.select(F.col("class").alias("k"), "comp")
         p = posts.join(comp, posts["class"] == comp.k).drop("k")
-        # a posting whose set shares too few tokens with anyone for the smallest set in the list has no partner there
+        # a posting that is too late in its set, even for the smallest set in the list, proposes no pair there
         least = p.groupBy("key").agg(F.min("me.n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("lk"), "least")
-        p = p.join(least, p.key == least.lk).where((100 + threshold) * F.col("me.s") >= threshold * (F.col("me.n") + F.col("least"))).drop("lk", "least")
+        p = p.join(least, p.key == least.lk).where((100 + threshold) * (F.col("me.s") - F.col("me.i") + F.col("me.m") - 1) >= threshold * (F.col("me.n") + F.col("least"))).drop("lk", "least")
         if k < rounds:
             # the first pivot is the set with the smallest share of tokens of its own, which is nearest to all; later ones are random
             by = F.struct(F.when(F.lit(k == 0), F.col("unique") / F.col("me.n")), F.xxhash64("class", F.lit(k)))
@@ -302,6 +304,7 @@ def components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD,
         if done is not None:
             fresh = fresh.join(done, ["a", "b"], "left_anti")
         fresh = tables.keep(fresh, "pairs")
+        tables.release()
         if fresh.isEmpty():
             continue
         checked = tables.keep(_verified(fresh, nodes, threshold), "checked")
