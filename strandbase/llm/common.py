@@ -44,10 +44,10 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, shared_root(spark), 0
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:

@@ -1,24 +1,30 @@
 """Token-ID output in training order: a keyed permutation gives every sequence its slot; fixed-stride shards hold the slots in order.
 
-1. Texts become ids once, cut into sequences of LENGTH ids (the last one filled up with PAD after the end-of-text id), in a written table.
-2. Every sequence gets a gapless number: sequences are counted by small hash buckets, and the counts of the buckets before are added.
-3. A Feistel network over the next even number of bits permutes the numbers; values beyond the last are walked on along their
+1. Texts become ids once, cut into sequences of LENGTH ids (END after the last), in a written table. A sequence's number is the count of
+   sequences of the tasks before its own plus its place within its task, so numbers are gapless and nothing is shuffled for them.
+2. A Feistel network over the next even number of bits permutes the numbers; values beyond the last are walked on along their
    cycle until they fall inside, so slots are gapless, too. Only key and count are needed to find any sequence's slot, or back.
-4. A shard holds SHARD_SLOTS consecutive slots; rows are range-partitioned by shard, and each shard is written as one file of
-   little-endian 16-bit ids, slot by slot at a fixed stride, under a temporary name first. A reader seeks to (slot mod SHARD_SLOTS) * stride
-   and may resume at any slot.
+3. A shard holds SHARD_SLOTS consecutive slots. The shards are written in PASSES runs: each one reads the table, keeps its range of slots,
+   range-partitions them by shard, and lets its shuffle files go, so that only one run's share of the ids is in shuffle files at a time.
+   Each shard is one file of little-endian 16-bit ids, slot by slot at a fixed stride, filled up with PAD, under a temporary name first.
+   A reader seeks to (slot mod SHARD_SLOTS) * stride and may resume at any slot.
 
-Defined results: a null or empty text is one sequence with the end-of-text id alone; repeated rows are sequences of their own, ties among them
-interchangeable; very long texts are many sequences, cut within the task; an empty table writes nothing; other columns are ignored.
+The order depends on the key, on the count and on how the input is split into tasks; the written table fixes it for all later steps and retries.
+
+Defined results: a null or empty text is one sequence with the end-of-text id alone; repeated rows are sequences of their own;
+very long texts are many sequences, cut within the task; an empty table writes nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import zlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,7 +38,12 @@ LENGTH = 512
 SHARD_SLOTS = 8192
 KEY = 0x5EED0F7EA1
 FEISTEL_ROUNDS = 6
-BUCKET_SEQUENCES = 20_000
+#: Shards that one task writes, at most, where there are more than the session's shuffle partitions.
+TASK_SHARDS = 16
+#: Runs that write the shards: each reads all sequences and shuffles its share of them.
+PASSES = 4
+#: Up to this many tasks of step 1, their starts (16 bytes each) are broadcast.
+BROADCAST_TASKS = 500_000
 
 
 @lru_cache(1)
@@ -76,48 +87,44 @@ def permuted(numbers: np.ndarray, count: int, key: int = KEY, back: bool = False
 
 
 def sequences(df: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, seq (number within the text), n (ids before padding), ids (binary, 2 bytes each), place (hash for the bucket)."""
+    """doc_id, seq (number within the text), ids (binary, 2 bytes each, not filled up), task and place (within the task)."""
 
     def run(batches):
-        enc = tokenizer()
+        enc, task, place = tokenizer(), TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in sliced(batch):
-                at, seq, n, ids = [], [], [], []
+                at, seq, ids = [], [], []
                 for i, text in enumerate(part["text"].to_pylist()):
                     got = np.array([*enc.encode_ordinary(text or ""), END], "<u2")
                     for k in range(0, len(got), length):
-                        cut = got[k : k + length]
                         at.append(i)
                         seq.append(k // length)
-                        n.append(len(cut))
-                        ids.append(np.concatenate([cut, np.full(length - len(cut), PAD, "<u2")]).tobytes())
-                yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(at, pa.int64())), pa.array(seq, pa.int64()), pa.array(n, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "seq", "n", "ids"])
-
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, seq long, n int, ids binary")
-
+                        ids.append(got[k : k + length].tobytes())
+                n = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"].take(pa.array(at, pa.int64())), pa.array(seq, pa.int64()), pa.array(ids, pa.binary()), pa.array(np.full(n, task, np.int64)), pa.array(np.arange(place, place + n))],
+                    ["doc_id", "seq", "ids", "task", "place"],
+                )
+                place += n
 
-def numbered(tables: Tables, seqs: DataFrame) -> tuple[DataFrame, int]:
-    """seqs with a gapless number from 0, and their count."""
-    total = seqs.count()
-    buckets = total // BUCKET_SEQUENCES + 1
-    placed = seqs.withColumn("place", F.xxhash64("doc_id", "seq")).withColumn("bucket", F.pmod("place", F.lit(buckets)))
-    counts = placed.groupBy("bucket").agg(F.count("*").alias("rows_in"))
-    before = counts.select(F.col("bucket").alias("b"), F.coalesce(F.sum("rows_in").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rn = F.row_number().over(W.partitionBy("bucket").orderBy("place", "doc_id", "seq", "crc"))
-    keys = placed.select("doc_id", "seq", "n", "ids", "crc", "place", "bucket").join(before, F.col("bucket") == F.col("b")).withColumn("number", F.col("before") + rn - 1)
-    return keys.select("doc_id", "seq", "n", "ids", "crc", "number"), total
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, seq long, ids binary, task long, place long")
 
 
-def with_slots(df: DataFrame, total: int, key: int) -> DataFrame:
-    """df with slot, the permuted number."""
+def with_slots(tables: Tables, seqs: DataFrame, key: int) -> tuple[DataFrame, int]:
+    """doc_id, seq, ids and slot (the permuted number) of the kept sequences, and their count."""
+    counts = seqs.groupBy("task").agg(F.count("*").alias("rows_in"))
+    # one row a task: a window over all of them is small
+    start = F.coalesce(F.sum("rows_in").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = tables.keep(counts.select(F.col("task").alias("t"), start.alias("start"), "rows_in"), "starts")
+    tasks, total = starts.agg(F.count("*"), F.coalesce(F.sum("rows_in"), F.lit(0))).first()
+    small = starts.select("t", "start")
+    numbered = seqs.join(F.broadcast(small) if tasks <= BROADCAST_TASKS else small, seqs.task == F.col("t"))
 
-    def run(batches):
-        for batch in batches:
-            slots = permuted(np.asarray(batch["number"]), total, key)
-            yield batch.set_column(batch.schema.get_field_index("number"), "slot", pa.array(slots))
+    @F.pandas_udf("long")
+    def slot(number: pd.Series) -> pd.Series:
+        return pd.Series(permuted(number.to_numpy(), total, key))
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" if f.name != "number" else "slot long" for f in df.schema)
-    return df.mapInArrow(run, fields)
+    return numbered.select("doc_id", "seq", "ids", slot(F.col("start") + F.col("place")).alias("slot")), total
 
 
 def _open(uri: str):
@@ -130,10 +137,12 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def write_shards(rows: DataFrame, folder: str, length: int = LENGTH, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """Writes rows (doc_id, seq, n, ids, crc, slot) and gives back the index: all but ids, with shard and offset (bytes)."""
-    shards = rows.withColumn("shard", F.floor(F.col("slot") / shard_slots))
+def write_shards(rows: DataFrame, folder: str, first: int, end: int, length: int = LENGTH, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """Writes the shards first to end - 1 of rows (doc_id, seq, ids, slot) and gives back their index: a row for each sequence, offset in bytes."""
+    shard = F.floor(F.col("slot") / shard_slots)
+    shards = rows.withColumn("shard", shard).where((F.col("shard") >= first) & (F.col("shard") < end))
     stride = 2 * length
+    pad = np.full(length, PAD, "<u2").tobytes()
 
     def run(batches):
         import os
@@ -144,6 +153,7 @@ def write_shards(rows: DataFrame, folder: str, length: int = LENGTH, shard_slots
         out = name = temp = None
         for batch in batches:
             shard, slot, ids = np.asarray(batch["shard"]), np.asarray(batch["slot"]), batch["ids"]
+            crcs, sizes = np.empty(len(shard), np.int64), np.empty(len(shard), np.int32)
             for i in range(len(shard)):
                 if name != shard[i]:
                     if out is not None:
@@ -153,17 +163,23 @@ def write_shards(rows: DataFrame, folder: str, length: int = LENGTH, shard_slots
                     out, at = fs.open_output_stream(temp), int(shard[i]) * shard_slots
                 if slot[i] != at:
                     raise ValueError("slots are not gapless")
-                out.write(ids[i].as_buffer())
+                own = ids[i].as_py()
+                row = own + pad[len(own) :]
+                out.write(row)
+                crcs[i], sizes[i] = zlib.crc32(row), len(own) // 2
                 at += 1
             yield pa.RecordBatch.from_arrays(
-                [*(batch[c] for c in ("doc_id", "seq", "n", "crc", "slot", "shard")), pa.array((slot - shard * shard_slots) * stride)], ["doc_id", "seq", "n_ids", "ids_crc32", "slot", "shard", "offset"]
+                [batch["doc_id"], batch["seq"], pa.array(sizes), pa.array(crcs), batch["slot"], batch["shard"], pa.array((slot - shard * shard_slots) * stride)],
+                ["doc_id", "seq", "n_ids", "ids_crc32", "slot", "shard", "offset"],
             )
         if out is not None:
             out.close()
             fs.move(temp, f"{base}/{shard_name(name)}")
 
-    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    laid = shards.repartitionByRange(n, "shard").sortWithinPartitions("slot")
+    # slots are spread evenly, so equal ranges of shards are equal partitions and need no sampling
+    n = max(1, min(end - first, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), (end - first) // TASK_SHARDS)))
+    where = F.floor((F.col("shard") - first) * n / max(1, end - first)).cast("int")
+    laid = shards.repartitionById(n, where).sortWithinPartitions("slot")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return laid.mapInArrow(run, f"doc_id {kind}, seq long, n_ids int, ids_crc32 long, slot long, shard long, offset long")
 
@@ -187,10 +203,16 @@ def read_slots(folder: str, start: int, count: int, length: int = LENGTH, shard_
 def materialise(df: DataFrame, folder: str | None = None, key: int = KEY, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards of df's texts to folder (a shared one) and gives back the index, a row for each sequence."""
     tables = Tables(df.sparkSession)
-    seqs = tables.keep(sequences(pick(df, doc_id=id_col, text=text_col), length).withColumn("crc", F.crc32("ids")), "sequences")
-    rows, total = numbered(tables, seqs)
-    slots = with_slots(rows, total, key)
-    return tables.keep(write_shards(slots, folder or f"{tables.root}/shards", length), "index")
+    seqs = tables.keep(sequences(pick(df, doc_id=id_col, text=text_col), length), "sequences", compression="zstd")
+    rows, total = with_slots(tables, seqs, key)
+    shards, folder, index = -(-total // SHARD_SLOTS), folder or f"{tables.root}/shards", None
+    for k in range(PASSES):
+        first, end = shards * k // PASSES, shards * (k + 1) // PASSES
+        if first < end or (k == PASSES - 1 and index is None):
+            part = tables.keep(write_shards(rows, folder, first, end, length), "index")
+            index = part if index is None else index.union(part)
+            tables.release()
+    return index
 
 
 def op3_training_order(spark, sf_dir: str) -> DataFrame:
