@@ -282,11 +282,19 @@ def components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD,
     labels = tables.keep(nodes.select("class", F.col("class").alias("comp")), "labels")
     done = None
     for k in range(rounds + 1):
-        comp = labels.select(F.col("class").alias("k"), "comp")
-        p = posts.join(comp, posts["class"] == comp.k).drop("k")
+        if k:
+            comp = labels.select(F.col("class").alias("k"), "comp")
+            p = posts.join(comp, posts["class"] == comp.k).drop("k")
+        else:
+            p = posts.withColumn("comp", F.col("class"))
         # a posting that is too late in its set, even for the smallest set in the list, proposes no pair there
         least = p.groupBy("key").agg(F.min("me.n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("lk"), "least")
         p = p.join(least, p.key == least.lk).where((100 + threshold) * (F.col("me.s") - F.col("me.i") + F.col("me.m") - 1) >= threshold * (F.col("me.n") + F.col("least"))).drop("lk", "least")
+        # components only grow, so a list that is within one of them now, and a posting too late now, will never propose again
+        p, spent = tables.keep(p, "live"), posts
+        tables.release()
+        tables.drop(spent)
+        posts = p.drop("comp")
         if k < rounds:
             # the first pivot is the set with the smallest share of tokens of its own, which is nearest to all; later ones are random
             by = F.struct(F.when(F.lit(k == 0), F.col("unique") / F.col("me.n")), F.xxhash64("class", F.lit(k)))
@@ -295,7 +303,7 @@ def components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD,
         else:
             by = p.groupBy("key", "comp").agg(F.count("*").alias("c"))
             main = by.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select(F.col("key").alias("mk"), "main")
-            p = tables.keep(p.join(main, p.key == main.mk).drop("mk"), "mixed")
+            p = p.join(main, p.key == main.mk).drop("mk")
             out = p.where("comp <> main").select("key", F.col("me").alias("x"), F.col("comp").alias("cx"))
             rest = p.select(F.col("key").alias("k2"), F.col("me").alias("y"), F.col("comp").alias("cy"), "main")
             pairs = out.join(rest, (out.key == rest.k2) & (out.cx != rest.cy) & ((rest.cy == rest.main) | (out.x["class"] < rest.y["class"])) & _fits(threshold))
