@@ -12,7 +12,8 @@ to verify, from the document counts of its prefix tokens) is least; a pair is co
 4. Links are found in rounds. In each of the first rounds every posting list proposes pairs of one pivot with the
    others, so a group of copies costs as many pairs as it has members; linked classes become one component. The last
    round proposes, in lists that still hold several components, every pair that crosses components (one side is always outside
-   the list's largest component), unless the tokens they can still share are too few. Proposed pairs with enough common prefix tokens are verified on their sets.
+   the list's largest component), unless the tokens they can still share are too few, by place in the order or by their sketches
+   (parities of the shared tokens in SKETCH_BITS hash cells: each cell that differs is a token of one set alone). Proposed pairs with enough common prefix tokens are verified on their sets.
    Every link then lies within a component; none is lost.
 
 Defined results: null and empty texts have an empty set, no links, and themselves as component; rows of equal
@@ -44,6 +45,8 @@ GROUP_CLASSES = 4_000
 VERIFY_COST = 50.0
 MAX_MATCHES = 64
 PIVOT_ROUNDS = 3
+#: Cells of a sketch, a multiple of 64. More cells decide longer sets; too few only let more pairs through to be verified.
+SKETCH_BITS = 256
 
 
 def _i64(a: np.ndarray) -> np.ndarray:
@@ -167,7 +170,13 @@ def match_count(df: np.ndarray, unique: int, n: int, o: int) -> int:
     return int(np.argmin(scan * (1 + VERIFY_COST / np.arange(1, most + 1)))) + 1
 
 
-_NODES = "class long, n int, m int, keys array<bigint>, prefix int, unique int"
+_NODES = "class long, n int, m int, keys array<bigint>, prefix int, unique int, sketch array<bigint>"
+
+
+def sketch(tok: np.ndarray) -> np.ndarray:
+    """The parity of the number of tokens in each cell: two sets differ in at least as many tokens as their sketches in bits."""
+    cells = np.bincount((tok >> np.uint64(16)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
+    return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
 
 
 def _nodes(shared: DataFrame, threshold: int) -> DataFrame:
@@ -191,10 +200,10 @@ def _nodes(shared: DataFrame, threshold: int) -> DataFrame:
             o = -(-threshold * size // 100)
             if b - a >= o:
                 m = match_count(df[a:b], unique, size, o)
-                rows.append((int(cls[a].astype(np.int64)), size, m, _i64(tok[a:b]), size - o + m - unique, unique))
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32()]
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["class", "n", "m", "keys", "prefix", "unique"])
+                rows.append((int(cls[a].astype(np.int64)), size, m, _i64(tok[a:b]), size - o + m - unique, unique, sketch(tok[a:b])))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+        cols = list(zip(*rows, strict=True)) or [()] * 7
+        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["class", "n", "m", "keys", "prefix", "unique", "sketch"])
 
     return shared.groupBy("grp").applyInArrow(fn, _NODES)
 
@@ -244,6 +253,13 @@ def _fits(threshold: int):
     return (F.greatest(x["l"], y["l"]) <= m) & ((100 + threshold) * most >= threshold * (x["n"] + y["n"]))
 
 
+def _alike(threshold: int):
+    """For postings x, y with sketches sx, sy: sets that differ in so many tokens can still be similar enough."""
+    x, y = F.col("x"), F.col("y")
+    differ = sum(F.bit_count(F.col("sx")[i].bitwiseXOR(F.col("sy")[i])) for i in range(SKETCH_BITS // 64))
+    return (100 + threshold) * (x["s"] + y["s"] - differ) >= 2 * threshold * (x["n"] + y["n"])
+
+
 def _candidates(pairs: DataFrame, threshold: int) -> DataFrame:
     """Of x and y for each common posting: the pairs with enough of them."""
     x, y = F.col("x"), F.col("y")
@@ -304,9 +320,11 @@ def components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD,
             by = p.groupBy("key", "comp").agg(F.count("*").alias("c"))
             main = by.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select(F.col("key").alias("mk"), "main")
             p = p.join(main, p.key == main.mk).drop("mk")
-            out = p.where("comp <> main").select("key", F.col("me").alias("x"), F.col("comp").alias("cx"))
-            rest = p.select(F.col("key").alias("k2"), F.col("me").alias("y"), F.col("comp").alias("cy"), "main")
-            pairs = out.join(rest, (out.key == rest.k2) & (out.cx != rest.cy) & ((rest.cy == rest.main) | (out.x["class"] < rest.y["class"])) & _fits(threshold))
+            bits = nodes.select(F.col("class").alias("k"), "sketch")
+            p = p.join(bits, p["class"] == bits.k)
+            out = p.where("comp <> main").select("key", F.col("me").alias("x"), F.col("comp").alias("cx"), F.col("sketch").alias("sx"))
+            rest = p.select(F.col("key").alias("k2"), F.col("me").alias("y"), F.col("comp").alias("cy"), "main", F.col("sketch").alias("sy"))
+            pairs = out.join(rest, (out.key == rest.k2) & (out.cx != rest.cy) & ((rest.cy == rest.main) | (out.x["class"] < rest.y["class"])) & _fits(threshold) & _alike(threshold))
             pairs = pairs.select("x", "y")
         fresh = _candidates(pairs, threshold)
         if done is not None:
