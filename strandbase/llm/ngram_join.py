@@ -36,7 +36,7 @@ WIDTH = 5
 #: Jaccard similarity of at least THRESHOLD / 100.
 THRESHOLD = 75
 #: Tokens of a hash range, about: what one task of step 2 holds at once.
-RANGE_TOKENS = 2_000_000
+RANGE_TOKENS = 4_000_000
 #: Tokens that a task of step 2 gathers before it sends them on.
 FLUSH_TOKENS = 2_000_000
 #: Classes of a group of step 3, about.
@@ -65,11 +65,11 @@ def document_classes(df: DataFrame, width: int = WIDTH) -> DataFrame:
     return map_texts(df, fn, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, class long, n_shingles long")
 
 
-_PACKED = "range int, classes binary, sizes binary, counts binary, low binary, high binary"
+_PACKED = "range int, classes binary, counts binary, low binary, high binary"
 
 
 def _packed_tokens(df: DataFrame, ranges: int, width: int) -> DataFrame:
-    """Tokens by hash range: the classes with tokens there, their set sizes and token counts, then 48 bits of each token."""
+    """Tokens by hash range: the classes with tokens there and their token counts, then 48 bits of each token."""
 
     def run(batches):
         held, size, seen = [], 0, set()
@@ -83,7 +83,7 @@ def _packed_tokens(df: DataFrame, ranges: int, width: int) -> DataFrame:
                 fresh = np.fromiter((n[i] > 0 and not (c in seen or seen.add(c)) for i, c in enumerate(cls.tolist())), bool, len(cls))
                 keep = fresh[text]
                 text, token = text[keep], token[keep]
-                held.append((cls[text], n[text].astype(np.uint32), token))
+                held.append((cls[text], token))
                 size += len(token)
                 if size >= FLUSH_TOKENS:
                     yield from flush(held)
@@ -93,18 +93,18 @@ def _packed_tokens(df: DataFrame, ranges: int, width: int) -> DataFrame:
     def flush(held):
         if not held:
             return
-        cls, n, token = (np.concatenate(x) for x in zip(*held, strict=True))
+        cls, token = (np.concatenate(x) for x in zip(*held, strict=True))
         # the range is the high part of the token times the number of ranges, so ranges may be any number
         where = ((token >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
         order = np.argsort(where, kind="stable")
-        where, cls, n, token = where[order], cls[order], n[order], token[order]
+        where, cls, token = where[order], cls[order], token[order]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(where)]]) if len(where) else np.zeros(1, int)
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             head = np.concatenate([[0], np.flatnonzero(np.diff(cls[a:b])) + 1])
             counts = np.diff(np.concatenate([head, [b - a]])).astype(np.uint32)
             t = token[a:b]
-            rows.append((int(where[a]), cls[a:b][head].tobytes(), n[a:b][head].tobytes(), counts.tobytes(), t.astype(np.uint32).tobytes(), ((t >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()))
+            rows.append((int(where[a]), cls[a:b][head].tobytes(), counts.tobytes(), t.astype(np.uint32).tobytes(), ((t >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()))
             if len(rows) == 256:
                 yield _rows(rows)
                 rows = []
@@ -112,47 +112,45 @@ def _packed_tokens(df: DataFrame, ranges: int, width: int) -> DataFrame:
             yield _rows(rows)
 
     def _rows(rows):
-        kinds = [pa.int32(), *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "classes", "sizes", "counts", "low", "high"])
+        kinds = [pa.int32(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "classes", "counts", "low", "high"])
 
     return df.mapInArrow(run, _PACKED)
 
 
-_SHARED = "grp int, classes binary, sizes binary, counts binary, keys binary, df binary"
+_SHARED = "grp int, classes binary, counts binary, keys binary, df binary"
 
 
 def _shared_tokens(packed: DataFrame, groups: int) -> DataFrame:
     """Tokens of two classes or more with their class counts, packed by group of classes."""
 
     def fn(key, table):
-        parts = {k: [] for k in ("cls", "n", "key")}
-        for r in zip(*(table[c].to_pylist() for c in ("classes", "sizes", "counts", "low", "high")), strict=True):
-            counts = np.frombuffer(r[2], np.uint32)
-            parts["cls"].append(np.repeat(np.frombuffer(r[0], np.uint64), counts))
-            parts["n"].append(np.repeat(np.frombuffer(r[1], np.uint32), counts))
-            parts["key"].append(np.frombuffer(r[3], np.uint32).astype(np.uint64) | np.frombuffer(r[4], np.uint16).astype(np.uint64) << np.uint64(32))
-        cls, n, tok = (np.concatenate(parts[k]) for k in ("cls", "n", "key"))
+        cls, tok = [], []
+        for classes, counts, low, high in zip(*(table[c].to_pylist() for c in ("classes", "counts", "low", "high")), strict=True):
+            cls.append(np.repeat(np.frombuffer(classes, np.uint64), np.frombuffer(counts, np.uint32)))
+            tok.append(np.frombuffer(low, np.uint32).astype(np.uint64) | np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32))
+        cls, tok = np.concatenate(cls), np.concatenate(tok)
         order = np.lexsort((cls, tok))
-        cls, n, tok = cls[order], n[order], tok[order]
+        cls, tok = cls[order], tok[order]
         fresh = np.ones(len(tok), bool)  # the same class from another task
         fresh[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])
-        cls, n, tok = cls[fresh], n[fresh], tok[fresh]
+        cls, tok = cls[fresh], tok[fresh]
         head = np.concatenate([[0], np.flatnonzero(np.diff(tok)) + 1, [len(tok)]])
         df = np.repeat(np.diff(head), np.diff(head)).astype(np.uint32)
         some = df > 1
-        cls, n, tok, df = cls[some], n[some], tok[some], df[some]
+        cls, tok, df = cls[some], tok[some], df[some]
         full = mixed_key(tok, int(key[0].as_py()))
         grp = (cls >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
         order = np.lexsort((cls, grp))
-        cls, n, full, df, grp = cls[order], n[order], full[order], df[order], grp[order]
+        cls, full, df, grp = cls[order], full[order], df[order], grp[order]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(grp)) + 1, [len(grp)]]) if len(grp) else np.zeros(1, int)
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             head = np.concatenate([[0], np.flatnonzero(np.diff(cls[a:b])) + 1])
-            rows.append((int(grp[a]), cls[a:b][head].tobytes(), n[a:b][head].tobytes(), np.diff(np.concatenate([head, [b - a]])).astype(np.uint32).tobytes(), full[a:b].tobytes(), df[a:b].tobytes()))
-        kinds = [pa.int32(), *[pa.binary()] * 5]
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["grp", "classes", "sizes", "counts", "keys", "df"])
+            rows.append((int(grp[a]), cls[a:b][head].tobytes(), np.diff(np.concatenate([head, [b - a]])).astype(np.uint32).tobytes(), full[a:b].tobytes(), df[a:b].tobytes()))
+        kinds = [pa.int32(), *[pa.binary()] * 4]
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["grp", "classes", "counts", "keys", "df"])
 
     return packed.groupBy("range").applyInArrow(fn, _SHARED)
 
@@ -179,33 +177,35 @@ def sketch(tok: np.ndarray) -> np.ndarray:
     return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
 
 
-def _nodes(shared: DataFrame, threshold: int) -> DataFrame:
-    """Of each class that may have a partner: set size, match count, shared tokens in the global order, how many are posted."""
+def _nodes(shared: DataFrame, sizes: DataFrame, groups: int, threshold: int) -> DataFrame:
+    """Of each class that may have a partner: set size, match count, shared tokens in the global order, how many are posted, sketch. sizes: class, n."""
 
-    def fn(key, table):
-        cls, n, tok, df = [], [], [], []
-        for r in zip(*(table[c].to_pylist() for c in ("classes", "sizes", "counts", "keys", "df")), strict=True):
-            counts = np.frombuffer(r[2], np.uint32)
-            cls.append(np.repeat(np.frombuffer(r[0], np.uint64), counts))
-            n.append(np.repeat(np.frombuffer(r[1], np.uint32), counts))
-            tok.append(np.frombuffer(r[3], np.uint64))
-            df.append(np.frombuffer(r[4], np.uint32))
-        cls, n, tok, df = (np.concatenate(x) for x in (cls, n, tok, df))
+    def fn(key, table, known):
+        cls, tok, df = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+        for classes, counts, keys, dfs in zip(*(table[c].to_pylist() for c in ("classes", "counts", "keys", "df")), strict=True):
+            cls.append(np.repeat(np.frombuffer(classes, np.uint64), np.frombuffer(counts, np.uint32)))
+            tok.append(np.frombuffer(keys, np.uint64))
+            df.append(np.frombuffer(dfs, np.uint32))
+        cls, tok, df = (np.concatenate(x) for x in (cls, tok, df))
+        size_of = dict(zip(known["class"].to_pylist(), known["n"].to_pylist(), strict=True))
         order = np.lexsort((tok, df, cls))
-        cls, n, tok, df = cls[order], n[order].astype(np.int64), tok[order], df[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(cls)) + 1, [len(cls)]])
+        cls, tok, df = _i64(cls[order]), tok[order], df[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(cls)) + 1, [len(cls)]]) if len(cls) else np.zeros(1, int)
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            size, unique = int(n[a]), int(n[a]) - int(b - a)
+            size = size_of[int(cls[a])]
+            unique = size - int(b - a)
             o = -(-threshold * size // 100)
             if b - a >= o:
                 m = match_count(df[a:b], unique, size, o)
-                rows.append((int(cls[a].astype(np.int64)), size, m, _i64(tok[a:b]), size - o + m - unique, unique, sketch(tok[a:b])))
+                rows.append((int(cls[a]), size, m, _i64(tok[a:b]), size - o + m - unique, unique, sketch(tok[a:b])))
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int64())]
         cols = list(zip(*rows, strict=True)) or [()] * 7
         return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["class", "n", "m", "keys", "prefix", "unique", "sketch"])
 
-    return shared.groupBy("grp").applyInArrow(fn, _NODES)
+    # the group as _shared_tokens counts it: the high half of the class, unsigned, times the number of groups
+    known = sizes.select(F.shiftright(F.shiftrightunsigned("class", 32) * F.lit(groups), 32).cast("int").alias("grp"), "class", "n")
+    return shared.groupBy("grp").cogroup(known.groupBy("grp")).applyInArrow(fn, _NODES)
 
 
 def connected(tables: Tables, labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -283,11 +283,12 @@ def components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD,
     """docs (doc_id, text): (doc_id, class, n_shingles) of each row, and (class, comp) of each class that may have a link."""
     tables = tables or Tables(docs.sparkSession)
     members = tables.keep(document_classes(docs, width), "members")
-    totals = members.where("n_shingles > 0").groupBy("class").agg(F.max("n_shingles").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    sizes = members.where("n_shingles > 0").groupBy("class").agg(F.max("n_shingles").alias("n"))
+    totals = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ranges, groups = int(totals[0] // RANGE_TOKENS) + 12, int(totals[1] // GROUP_CLASSES) + 12
     shared = tables.keep(_shared_tokens(_packed_tokens(docs, ranges, width), groups), "shared")
     tables.release()
-    nodes = tables.keep(_nodes(shared, threshold), "nodes")
+    nodes = tables.keep(_nodes(shared, sizes, groups, threshold), "nodes")
     tables.release()
     tables.drop(shared)
     posted = nodes.select("class", "n", "m", "unique", F.size("keys").alias("s"), F.posexplode(F.slice("keys", F.lit(1), F.greatest("prefix", F.lit(0)))).alias("i", "key"))
