@@ -179,17 +179,17 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS,
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         content, meta, n_words = _arrays(batch)
         x = np.column_stack([content, meta, n_words])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], lists], ["doc_id", "h", "x"])
+        packed = pa.array([r.tobytes() for r in x.astype(np.float64)], pa.binary())
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], packed], ["doc_id", "h", "x"])
 
     some = t.where(F.col("h") <= max(ends))
-    rows = map_texts(some, fn, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, h long, x array<double>")
+    rows = map_texts(some, fn, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, h long, x binary")
     rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("label_id"), "left").where((F.col("h") <= ends[1]) | F.col("y").isNotNull())
-    got = rows.select(F.col("y").isNull().alias("free"), "y", "h", "doc_id", "x").orderBy("free", "h", "doc_id").limit(labelled_rows + pool_rows).toPandas()
+    got = rows.select(F.col("y").isNull().alias("free"), "y", "h", "doc_id", "x").orderBy("free", "h", "doc_id").limit(labelled_rows + pool_rows).select("y", "x").toArrow()
     if not len(got):
         return None
-    x = np.stack(got["x"].to_numpy())
-    x, y = x[x[:, -1] > 0], got["y"].to_numpy(float)[x[:, -1] > 0]
+    x, y = np.frombuffer(b"".join(got["x"].to_pylist())).reshape(len(got), -1), got["y"].to_numpy().astype(float)
+    x, y = x[x[:, -1] > 0], y[x[:, -1] > 0]
     views, has = (x[:, :N_CONTENT], x[:, N_CONTENT:-1]), ~np.isnan(y)
     return co_train([v[has] for v in views], y[has], [v[~has][:pool_rows] for v in views])
 
