@@ -1,11 +1,16 @@
 """Personal data: fixed patterns, and contextual extraction bootstrapped from what they find.
 
-Seed entities (the spans of the fixed patterns) induce lexical patterns: the two words before an entity, or the word before and
-the word after, if the word before ends like a label. Every other run with digits is a candidate instance. Spark scores the graph of patterns and instances in
-rounds: a pattern is as sure as the mean score of its instances, held down while it has few; an instance is as sure as
-its patterns together. Patterns that end up sure and that several different seeds support give their unseen instances.
+Seed entities (the spans of the fixed patterns) induce lexical patterns: the word before an entity, its two words before, the word
+before and the word after, and the word after; the begin and the end of a line count as words. A pattern takes either
+units with digits or units without, as its seeds are. Every other word is a candidate instance, and groups of digits with
+blanks, dots or brackets between them are one. Patterns and instances are scored in rounds: a pattern that several different instances
+accepted so far support is as sure as the mean score of all its instances, held down while it has few; what stands in a sure pattern is
+accepted, as sure as its sure patterns together, and may support other patterns in the next round. Patterns that end up sure give their unseen instances.
 
-Only the graph is shuffled, never texts; pattern-instance pairs are counted before they are joined.
+Texts are read again in each round, once for the patterns of accepted instances and once for all instances of the supported
+patterns; only these pairs (two hashes, distinct) are shuffled. Words of running text stand before anything: where one slice of texts
+alone holds more instances than the pattern's support allows for, the slice gives one row for it, not its pairs. Accepted instances and supported
+patterns are sent to the workers, at 8 and 16 bytes each.
 
 Defined results: a null text counts as empty and has no spans; very long texts are scanned whole; repeated rows give repeated
 results, and count once as support (support is by distinct instance); ties don't arise, scores are not ranked; an empty
@@ -16,8 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +30,10 @@ from pyspark.sql import functions as F
 from .common import Tables, map_texts, pick
 
 KINDS = ("email", "ip", "card", "phone", "context")
-ROUNDS = 4
-#: A pattern must be supported by so many different seeds and score so much; a candidate must hold so many digits.
+ROUNDS = 1
+#: A pattern must be supported by so many different accepted instances and score so much.
 LEAST_SEEDS, LEAST_SCORE, LEAST_DIGITS = 5, 0.8, 5
 PRIOR = 1.0
-#: Words of running text stand before anything, so only a word that ends with one of these is the core of a pattern.
-LABEL_SIGNS = ":=#"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,7 +41,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_BLANK = re.compile(r"[\x20\x09-\x0D]")
 _EDGE = "\"'“”‘’()[]{}<>,;:.!?|#*$%&"
 
 
@@ -76,98 +78,249 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]):
-    """(start, end) of whitespace-separated runs with enough digits that no base span touches, without signs at their edges."""
-    taken = sorted((a, b) for _, a, b in base)
-    i, done = 0, 0
-    for m in _DIGIT.finditer(text):
-        if m.start() < done:
-            continue
-        a = m.start()
-        while a > done and not _BLANK.match(text[a - 1]):
-            a -= 1
-        end = _BLANK.search(text, m.start())
-        b = done = end.start() if end else len(text)
-        while a < b and text[a] in _EDGE:
-            a += 1
-        while b > a and text[b - 1] in _EDGE:
-            b -= 1
-        while i < len(taken) and taken[i][1] <= a:
-            i += 1
-        if (i == len(taken) or taken[i][0] >= b) and len(_DIGIT.findall(text[a:b])) >= LEAST_DIGITS:
-            yield a, b
-
-
-def _near(text: str, a: int, b: int) -> list[str]:
-    """The patterns of a span: its two words before; its word before and its word after. The word before must end like a label."""
-    before = text[max(0, a - 80) : a].split("\n")[-1].lower().split()
-    after = text[b : b + 40].split("\n")[0].lower().split()
-    before = [_DIGIT.sub("0", w) for w in before]
-    out = []
-    if not before or before[-1][-1] not in LABEL_SIGNS:
-        return out
-    if len(before) > 1:
-        out.append(f"L {before[-2]} {before[-1]}")
-    if after:
-        out.append(f"M {before[-1]} _ {_DIGIT.sub('0', after[0])}")
+def _table(chars: str) -> np.ndarray:
+    out = np.zeros(1 << 16, bool)
+    out[[ord(c) for c in chars]] = True
     return out
 
 
-def _found(t: DataFrame) -> DataFrame:
-    """Of each row: a name of its own, base spans, and mentions (pattern, instance, seed, start, end)."""
+_IS_BLANK, _IS_EDGE, _IS_LABEL = _table(" \t\n\v\f\r"), _table(_EDGE), _table(":=#")
+_IS_DIGIT, _IS_PART, _IS_JOINT, _IS_LOOSE = _table("0123456789"), _table("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ.()/+-"), _table(" ().-+"), _table(" \t\n\v\f\r().-")
+_IS_LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
+_LOWER = np.array([ord(chr(i).lower()) if len(chr(i).lower()) == 1 else i for i in range(1 << 16)], np.uint32)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Marks: before the first word of a text, before the first word of a line, after the last one.
+_FIRST, _START, _END = np.uint64(1), np.uint64(2), np.uint64(3)
+
+
+def _mix(*parts) -> np.ndarray:
+    """A 64-bit hash of the parts in their order."""
+    h = np.uint64(0x51)
+    with np.errstate(over="ignore"):
+        for p in parts:
+            h = (h ^ p) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(32))
+    return h
+
+
+class _Hashes:
+    """Hashes of stretches of a sequence of signs."""
+
+    def __init__(self, signs: np.ndarray):
+        n = len(signs) + 1
+        powers = np.full(n, _BASE)
+        powers[0] = 1
+        np.cumprod(powers, out=powers)
+        self.inverse = np.full(n, _UNBASE)
+        self.inverse[0] = 1
+        np.cumprod(self.inverse, out=self.inverse)
+        self.sums = np.zeros(n, np.uint64)
+        np.cumsum(_mix(signs.astype(np.uint64)) * powers[:-1], out=self.sums[1:])
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _mix((self.sums[b] - self.sums[a]) * self.inverse[a])
+
+
+def _sums(flags: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(flags)])
+
+
+def units(texts: list[str], base: list[list[tuple[int, int, int]]]) -> dict[str, np.ndarray]:
+    """All seeds and candidates of texts: row, start, end, seed, instance (hash) and patterns (four hashes each)."""
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    u = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where(u < 1 << 16, u, 0xFFFF)
+    sa = np.array([begin[i] + a for i, spans in enumerate(base) for _, a, _ in spans], np.int64)
+    sb = np.array([begin[i] + b for i, spans in enumerate(base) for _, _, b in spans], np.int64)
+    depth = np.zeros(len(u) + 1, np.int64)
+    np.add.at(depth, sa, 1)
+    np.add.at(depth, sb, -1)
+    inside = np.cumsum(depth)[:-1] > 0
+    # words: between blanks, and cut where a fixed span begins or ends, and after a label that is written together with its value
+    full = ~_IS_BLANK[c] | inside
+    cut = np.zeros(len(u) + 1, bool)
+    cut[:-1][1:] = inside[1:] != inside[:-1]
+    cut[2:-1] |= _IS_LABEL[c[1:-1]] & _IS_LETTER[c[:-2]] & (_IS_LETTER[c[2:]] | _IS_DIGIT[c[2:]] | (c[2:] == 43) | (c[2:] == 40))
+    cut[:-1] &= full & ~np.concatenate([[False], inside[:-1] & inside[1:]])
+    before = np.concatenate([[False], full])
+    after = np.concatenate([full, [False]])
+    ws = np.flatnonzero(after & (~before | cut))
+    we = np.flatnonzero(before & (~after | cut))
+    plain = _sums(~_IS_EDGE[c])
+    held = inside[ws] if len(ws) else np.zeros(0, bool)
+    bare = plain[we] == plain[ws]  # signs alone; those that touch a span are no words
+    beside = np.zeros(len(ws), bool)
+    if len(ws) > 1:
+        near = we[:-1] == ws[1:]
+        beside[:-1] |= near & held[1:]
+        beside[1:] |= near & held[:-1]
+    stay = ~(bare & beside & ~held)
+    ws, we, held, bare = ws[stay], we[stay], held[stay], bare[stay]
+    n = len(ws)
+    row = np.searchsorted(begin, ws, "right") - 1
+    line = _sums(c == 10)[ws]
+    solid = np.append(np.flatnonzero(~_IS_EDGE[c]), len(u))
+    ts, te = solid[np.searchsorted(solid, ws)], solid[np.searchsorted(solid, we) - 1] + 1
+    digits = _sums(_IS_DIGIT[c])
+    free = ~held & ~bare
+    ts, te = np.where(free, ts, ws), np.where(free, te, we)
+    some = digits[te] > digits[ts]
+    # groups of digits that only blanks, dots and brackets divide (and short groups of capitals between them)
+    parts, joints = _sums(~_IS_PART[c]), _sums(~_IS_JOINT[c])
+    part = np.zeros(n, bool) & free & (parts[te] == parts[ts]) & (some | (te - ts <= 4))
+    go = np.zeros(n, bool)
+    if n > 1:
+        go[1:] = part[1:] & part[:-1] & (line[1:] == line[:-1]) & (joints[ts[1:]] == joints[te[:-1]]) & (ts[1:] > te[:-1])
+    group = np.cumsum(~go) - 1
+    where = np.arange(n)
+    lead, last = np.full(n, n), np.full(n, -1)
+    np.minimum.at(lead, group[some & part], where[some & part])
+    np.maximum.at(last, group[some & part], where[some & part])
+    within = part & (where >= lead[group]) & (where <= last[group]) if n else part
+    single = free & ~within & (digits[te] - digits[ts] >= LEAST_DIGITS)
+    heads = within & (where == lead[group]) if n else within
+    i = np.concatenate([where[single], where[heads]])
+    j = np.concatenate([where[single], last[group[heads]]])
+    a, b, seed = ts[i], te[j], np.zeros(len(i), bool)
+    if len(sa):
+        x = np.searchsorted(ws, sa, "right") - 1
+        y = np.searchsorted(we, sb, "left")
+        i, j, a, b, seed = np.concatenate([i, x]), np.concatenate([j, y]), np.concatenate([a, sa]), np.concatenate([b, sb]), np.concatenate([seed, np.ones(len(sa), bool)])
+    low = np.where(u < 1 << 16, _LOWER[c], u)
+    word = _Hashes(np.where(_IS_DIGIT[c], 48, low)).of(ws, we)
+    loose = ~_IS_LOOSE[c]
+    at = _sums(loose)
+    instance = _Hashes(low[loose]).of(at[a], at[b])
+
+    def neighbour(k):
+        """Hash, and whether on the unit's line and in its text."""
+        k_ = np.clip(k, 0, max(0, n - 1))
+        there = (k >= 0) & (k < n) & (row[k_] == row[i])
+        return word[k_], there & (line[k_] == line[np.where(k < i, i, j)]), there
+
+    w1, same1, there1 = neighbour(i - 1)
+    w2, same2, _ = neighbour(i - 2)
+    w3, same3, _ = neighbour(j + 1)
+    left = np.where(same1, w1, np.where(there1, _mix(_START, w1), _FIRST))
+    left2 = np.where(same2, w2, _START)
+    right = np.where(same3, w3, _END)
+    kind = (digits[b] > digits[a]).astype(np.uint64)
+    patterns = np.stack([_mix(np.uint64(11), kind, left), _mix(np.uint64(12), kind, left2, left), _mix(np.uint64(13), kind, left, right), _mix(np.uint64(14), kind, right)])
+    good = at[b] > at[a]
+    r = row[i]
+    return {"row": r[good], "start": (a - begin[r])[good], "end": (b - begin[r])[good], "seed": seed[good], "instance": instance[good].view(np.int64), "patterns": patterns[:, good].view(np.int64)}
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each of x is in known, which is sorted."""
+    if not len(known):
+        return np.zeros(x.shape, bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _units(batch: pa.RecordBatch):
+    texts = [t or "" for t in batch["text"].to_pylist()]
+    base = [base_spans(t) for t in texts]
+    return texts, base, units(texts, base)
+
+
+def _pairs(t: DataFrame, accepted: np.ndarray | None = None, patterns: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """Pairs (pattern, instance) of accepted instances (None: of the seeds), or all those of patterns; distinct within a slice.
+
+    patterns are sorted hashes and the greatest number of instances each can have and still be sure; beyond it a null instance stands for all.
+    """
+    spark = t.sparkSession
+    known = spark.sparkContext.broadcast((accepted, patterns))
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans, mentions = [], []
-        for text in batch["text"].to_pylist():
-            text = text or ""
-            base = base_spans(text)
-            got = [(a, b, True) for _, a, b in base] + [(a, b, False) for a, b in candidates(text, base)]
-            spans.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
-            mentions.append([{"pattern": p, "instance": re.sub(r"[\s().-]", "", text[a:b]).lower()[:256], "seed": s, "start": a, "end": b} for a, b, s in got for p in _near(text, a, b)])
-        span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-        mention = pa.struct([("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.bool_()), ("start", pa.int64()), ("end", pa.int64())])
-        rows = [uuid.uuid4().hex for _ in spans]  # kept with the written table
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows), pa.array(spans, pa.list_(span)), pa.array(mentions, pa.list_(mention))], ["doc_id", "row", "base", "mentions"])
+        accepted, patterns = known.value
+        _, _, u = _units(batch)
+        if patterns is None:
+            use = u["seed"] if accepted is None else u["seed"] | _among(u["instance"], accepted)
+            p, i = u["patterns"][:, use].ravel(), np.tile(u["instance"][use], 4)
+        else:
+            hit = _among(u["patterns"], patterns[0])
+            p, i = u["patterns"][hit], np.broadcast_to(u["instance"], hit.shape)[hit]
+        order = np.lexsort((i, p))
+        p, i = p[order], i[order]
+        new = np.ones(len(p), bool)
+        new[1:] = (p[1:] != p[:-1]) | (i[1:] != i[:-1])
+        p, i = p[new], i[new]
+        void = np.zeros(len(p), bool)
+        if patterns is not None and len(p):
+            heads, at, many = np.unique(p, return_index=True, return_counts=True)
+            over = many > patterns[1][np.searchsorted(patterns[0], heads)]
+            stay = ~np.repeat(over, many)
+            stay[at[over]] = True
+            void[at[over]] = True
+            p, i, void = p[stay], i[stay], void[stay]
+        return pa.RecordBatch.from_arrays([pa.array(p), pa.array(i, mask=void)], ["pattern", "instance"])
 
-    kind = t.schema["doc_id"].dataType.simpleString()
-    return map_texts(t, fn, f"doc_id {kind}, row string, base array<struct<kind:int,start:bigint,end:bigint>>, mentions array<struct<pattern:string,instance:string,seed:boolean,start:bigint,end:bigint>>")
+    return map_texts(t, fn, "pattern long, instance long").distinct()
 
 
-def sure_patterns(tables: Tables, mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, p_score of the patterns that are sure in the end. mentions: pattern, instance, seed."""
-    edges = tables.keep(mentions.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
-    support = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS).select(F.col("pattern").alias("k"), "seeds")
-    edges = tables.keep(edges.join(support, F.col("pattern") == F.col("k")).drop("k"), "edges")
-    own = F.when(F.col("seed"), 1.0).otherwise(0.0)
-    scores = edges.select("pattern", "instance", "seed", own.alias("score"))
-    patterns = None
+def _sorted(df: DataFrame, *columns: str) -> list[np.ndarray]:
+    """Columns of df on the driver, ordered by the first."""
+    got = df.select(*columns).toArrow()
+    cols = [got[c].to_numpy() for c in columns]
+    order = np.argsort(cols[0])
+    return [c[order] for c in cols]
+
+
+def sure_patterns(tables: Tables, t: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """The sorted hashes of the patterns that are sure in the end."""
+    seeds = _pairs(t)
+    scores = accepted = None
+    sure, p_score = np.zeros(0, np.int64), np.zeros(0)
     for _ in range(rounds):
-        patterns = tables.keep(scores.groupBy("pattern").agg((F.sum("score") / (F.count("*") + PRIOR)).alias("p_score")), "patterns")
-        p = patterns.select(F.col("pattern").alias("k"), "p_score")
-        lent = edges.join(p, edges.pattern == p.k).select("instance", F.least("p_score", F.lit(0.999)).alias("p_score"))
+        mine = seeds if accepted is None else _pairs(t, accepted)
+        if scores is None:
+            mine = tables.keep(mine.withColumn("score", F.lit(1.0)), "seeds")
+            first = mine.select("instance").distinct().withColumn("score", F.lit(1.0))
+        else:
+            mine = mine.join(scores.select(F.col("instance").alias("i"), "score"), F.col("instance") == F.col("i")).select("pattern", "instance", "score")
+        support = mine.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("score").alias("s")).where((F.col("n") >= LEAST_SEEDS) & (F.col("s") >= LEAST_SCORE * (F.col("n") + PRIOR)))
+        support = tables.keep(support, "support")
+        known, s = _sorted(support, "pattern", "s")
+        if not len(known):
+            break
+        edges = tables.keep(_pairs(t, patterns=(known, np.floor(s / LEAST_SCORE - PRIOR + 1e-9))), "edges")
+        per = edges.groupBy("pattern").agg(F.count("*").alias("all"), F.bool_or(F.col("instance").isNull()).alias("over")).where("not over").select(F.col("pattern").alias("k"), "all")
+        scored = tables.keep(support.join(per, F.col("pattern") == F.col("k")).select("pattern", (F.col("s") / (F.col("all") + PRIOR)).alias("p_score")).where(F.col("p_score") >= LEAST_SCORE), "patterns")
+        before, (sure, p_score) = (sure, p_score), _sorted(scored, "pattern", "p_score")
         # sure if any of its patterns is: one less the chance that all are wrong
-        per = lent.groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("p_score"))))).alias("i_score")).select(F.col("instance").alias("i"), "i_score")
-        scores = edges.join(per, edges.instance == per.i).select("pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("i_score")).alias("score"))
-    return patterns.where(F.col("p_score") >= LEAST_SCORE)
+        lent = edges.join(scored.select(F.col("pattern").alias("k"), F.least("p_score", F.lit(0.999)).alias("p_score")), F.col("pattern") == F.col("k"))
+        lent = lent.groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("p_score"))))).alias("score"))
+        scores = tables.keep(first.union(lent).groupBy("instance").agg(F.max("score").alias("score")), "scores")
+        old = accepted
+        (accepted,) = _sorted(scores, "instance")
+        if old is not None and np.array_equal(old, accepted) and np.array_equal(before[0], sure) and np.allclose(before[1], p_score, atol=1e-6):
+            break
+    return sure
 
 
 def extract(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: doc_id, counts of the base kinds, base_sha256, spans, n_context."""
-    tables = Tables(df.sparkSession)
-    found = tables.keep(_found(pick(df, doc_id=id_col, text=text_col)), "found")
-    mentions = found.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    sure = sure_patterns(tables, mentions).select(F.col("pattern").alias("k"))
-    more = mentions.where("not seed").join(sure, F.col("pattern") == F.col("k"), "left_semi")
-    more = more.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end"))).alias("extra")).withColumnRenamed("row", "r")
-    both = found.join(more, F.col("row") == F.col("r"), "left")
-    names = F.array(*map(F.lit, KINDS))
-    text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    extra = F.coalesce("extra", F.expr("cast(array() as array<struct<kind:int,start:bigint,end:bigint>>)"))
-    return both.select(
-        "doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])), F.sha2(text(F.col("base")), 256).alias("base_sha256"),
-        text(F.concat("base", extra)).alias("spans"), F.size(extra).cast("long").alias("n_context"),
-    )
+    t = pick(df, doc_id=id_col, text=text_col)
+    sure = df.sparkSession.sparkContext.broadcast(sure_patterns(Tables(df.sparkSession), t))
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, base, u = _units(batch)
+        hit = ~u["seed"] & _among(u["patterns"], sure.value).any(axis=0)
+        extra: list[list] = [[] for _ in base]
+        for r, a, b in sorted(zip(u["row"][hit].tolist(), u["start"][hit].tolist(), u["end"][hit].tolist(), strict=True)):
+            extra[r].append((4, a, b))
+        text = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
+        counts = [pa.array([sum(s[0] == k for s in spans) for spans in base], pa.int64()) for k in range(4)]
+        sha = pa.array([hashlib.sha256(text(spans).encode()).hexdigest() for spans in base])
+        spans = pa.array([text([*x, *y]) for x, y in zip(base, extra, strict=True)])
+        return pa.RecordBatch.from_arrays([batch["doc_id"], *counts, sha, spans, pa.array([len(x) for x in extra], pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans", "n_context"])
+
+    kind = t.schema["doc_id"].dataType.simpleString()
+    return map_texts(t, fn, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS[:4]) + ", base_sha256 string, spans string, n_context long")
 
 
 def op5_pii_bootstrap(spark, sf_dir: str) -> DataFrame:

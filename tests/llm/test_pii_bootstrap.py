@@ -39,3 +39,16 @@ def test_bootstrap(spark):
     assert new.n_phone == 0 and new.n_context == 1 and new.spans == "context:23:34"
     assert all(got[i].n_context == 0 for i in range(len(rows)) if i != new.doc_id)
     assert got[len(people)].n_phone == 1
+
+
+def found(spark, texts):
+    """The contextual spans of each text, as texts."""
+    got = extract(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    spans = [[s.split(":") for s in r.spans.split(",") if s.startswith("context")] for r in got]
+    return [[t[int(a) : int(b)] for _, a, b in s] for t, s in zip(texts, spans, strict=True)]
+
+
+def test_running_text(spark):
+    texts = [f"u{i} you may ring me on +1 743 555 38{i} any day v{i}" for i in range(10, 30)]
+    texts += [f"w{i} it went on {i} of x{i}" for i in range(10)]  # the word alone is no sure pattern, both words are
+    assert found(spark, [*texts, "do ring me on 555-3824-77 when x", "it went on 17 of them"])[-2:] == [["555-3824-77"], []]
