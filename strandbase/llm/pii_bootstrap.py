@@ -32,7 +32,7 @@ from .common import Tables, map_texts, pick
 KINDS = ("email", "ip", "card", "phone", "context")
 ROUNDS = 1
 #: A pattern must be supported by so many different accepted instances and score so much.
-LEAST_SEEDS, LEAST_SCORE, LEAST_DIGITS = 5, 0.8, 5
+LEAST_SEEDS, LEAST_SCORE = 5, 0.8
 PRIOR = 1.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -170,7 +170,7 @@ def units(texts: list[str], base: list[list[tuple[int, int, int]]]) -> dict[str,
     some = digits[te] > digits[ts]
     # groups of digits that only blanks, dots and brackets divide (and short groups of capitals between them)
     parts, joints = _sums(~_IS_PART[c]), _sums(~_IS_JOINT[c])
-    part = np.zeros(n, bool) & free & (parts[te] == parts[ts]) & (some | (te - ts <= 4))
+    part = free & (parts[te] == parts[ts]) & (some | (te - ts <= 4))
     go = np.zeros(n, bool)
     if n > 1:
         go[1:] = part[1:] & part[:-1] & (line[1:] == line[:-1]) & (joints[ts[1:]] == joints[te[:-1]]) & (ts[1:] > te[:-1])
@@ -180,7 +180,7 @@ def units(texts: list[str], base: list[list[tuple[int, int, int]]]) -> dict[str,
     np.minimum.at(lead, group[some & part], where[some & part])
     np.maximum.at(last, group[some & part], where[some & part])
     within = part & (where >= lead[group]) & (where <= last[group]) if n else part
-    single = free & ~within & (digits[te] - digits[ts] >= LEAST_DIGITS)
+    single = free & ~within
     heads = within & (where == lead[group]) if n else within
     i = np.concatenate([where[single], where[heads]])
     j = np.concatenate([where[single], last[group[heads]]])

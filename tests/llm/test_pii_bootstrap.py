@@ -52,3 +52,9 @@ def test_running_text(spark):
     texts = [f"u{i} you may ring me on +1 743 555 38{i} any day v{i}" for i in range(10, 30)]
     texts += [f"w{i} it went on {i} of x{i}" for i in range(10)]  # the word alone is no sure pattern, both words are
     assert found(spark, [*texts, "do ring me on 555-3824-77 when x", "it went on 17 of them"])[-2:] == [["555-3824-77"], []]
+
+
+def test_labelled_records(spark):
+    texts = [f"row {i}\nPhone: +1 743 555 38{i}\nend" for i in range(10, 30)] + [f"row {i}\nCall\n+1 743 556 38{i}\nend" for i in range(10, 30)]
+    unseen = ["z\nPhone: 5550199222", "z\nPhone: 020 7946 0958", "z\nPhone: (020) 7946.0958 x", "Phone:123", "Call\n5550199222"]
+    assert found(spark, texts + unseen)[-5:] == [["5550199222"], ["020 7946 0958"], ["020) 7946.0958"], ["123"], ["5550199222"]]
