@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Tables, map_texts, pick
 
 KINDS = ("email", "ip", "card", "phone", "context")
-ROUNDS = 1
+ROUNDS = 4
 #: A pattern must be supported by so many different accepted instances and score so much.
 LEAST_SEEDS, LEAST_SCORE = 5, 0.8
 PRIOR = 1.0

@@ -58,3 +58,10 @@ def test_labelled_records(spark):
     texts = [f"row {i}\nPhone: +1 743 555 38{i}\nend" for i in range(10, 30)] + [f"row {i}\nCall\n+1 743 556 38{i}\nend" for i in range(10, 30)]
     unseen = ["z\nPhone: 5550199222", "z\nPhone: 020 7946 0958", "z\nPhone: (020) 7946.0958 x", "Phone:123", "Call\n5550199222"]
     assert found(spark, texts + unseen)[-5:] == [["5550199222"], ["020 7946 0958"], ["020) 7946.0958"], ["123"], ["5550199222"]]
+
+
+def test_found_instances_support_patterns(spark):
+    texts = [f"u{i} Phone: +1 743 555 3{i} v{i}" for i in range(100, 200)]
+    shared = [f"55501992{i}" for i in range(10, 30)]
+    texts += [f"a{x} Phone: {x} b{x}" for x in shared] + [f"c{x} Fax: {x} d{x}" for x in shared]
+    assert found(spark, [*texts, "e Fax: 77-88 f"])[-1] == ["77-88"]
