@@ -359,12 +359,14 @@ def named(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """docs without all but one document of each component (that of the smallest doc_id), with all columns; documents without words stay."""
+    """docs without all but one document of each component (that of the smallest doc_id, then class; null ids last), with all columns; documents without words stay."""
     tables, names = Tables(docs.sparkSession), docs.columns
     members, labels = components(pick(docs, doc_id="doc_id", text="text"), width, threshold, tables=tables)
     one = lambda doc, cls: F.concat_ws(":", F.coalesce(doc.cast("string"), F.lit("null")), cls.cast("string"))
-    first = named(members, labels).where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = tables.keep(first.groupBy("component_id").agg(F.min("class").alias("class")).select(one(F.col("component_id"), F.col("class")).alias("kept_key")), "kept")
+    # by component, not by its name: a doc_id may be null or stand in several components
+    first = members.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("lowest"))
+    per = first.join(labels.withColumnRenamed("class", "k"), F.col("class") == F.col("k"), "left").select(F.coalesce("comp", "class").alias("comp"), F.struct(F.col("lowest").isNull().alias("nameless"), "lowest", "class").alias("best"))
+    kept = tables.keep(per.groupBy("comp").agg(F.min("best").alias("best")).select(one(F.col("best.lowest"), F.col("best.class")).alias("kept_key")), "kept")
     tables.only(kept)
     flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
     text, doc = names.index("text"), names.index("doc_id")
