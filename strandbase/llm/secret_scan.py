@@ -1,9 +1,9 @@
 """Secret scan: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 Two models of order 2 are trained from labelled samples: random strings of the usual key alphabets (seeded), and ordinary
-identifiers built from words of the corpus and a short fixed list. A run of key characters that no fixed pattern covers is a
-secret if its log-likelihood ratio a character exceeds a threshold set on held-out samples, so that at most
-MISTAKES of the ordinary identifiers pass.
+identifiers, numbers and rules built from words of the corpus and a short fixed list. A run of key characters, or what fixed patterns leave of it, is a
+secret if its log-likelihood ratio a character exceeds a threshold for its length set on held-out samples, so that at most
+MISTAKES of the ordinary ones pass. If the whole is none, the part between separators that exceeds most is judged, and then what lies beside it.
 
 The words come from a bounded sample of documents (SAMPLE_DOCS, SAMPLE_WORDS); the scan covers every text.
 
@@ -14,6 +14,7 @@ model; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -29,8 +30,13 @@ SAMPLE_DOCS = 2_000
 SAMPLE_WORDS = 20_000
 RANDOM_STRINGS = 8_000
 MISTAKES = 0.0005
-#: A run must be this long and hold this many digits and letters to be judged at all.
-LEAST_LENGTH, LEAST_DIGITS, LEAST_LETTERS = 20, 3, 3
+#: What words the sample lacks may hold: without it a few unseen letters would make any word a secret.
+FLOOR = 0.2
+#: The log-odds against a secret before it is read: a run must speak for one by more.
+ODDS = 7.0
+#: A run must be this long to be judged at all; thresholds are set at these lengths and hold up to the next.
+LEAST_LENGTH = 12
+LENGTHS = (12, 14, 16, 20, 24, 32, 48)
 KINDS = ("assign", "access", "hex", "model")
 MASK = "[SECRET]"
 
@@ -38,13 +44,16 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}=*")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{12,}=*")
+_PART = re.compile(r"[^+/_-]+|[+/_-]+")
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 _CODE = np.full(128, len(_LETTERS), np.int64)
 _CODE[[ord(c) for c in _LETTERS]] = np.arange(len(_LETTERS))
 _N = len(_LETTERS) + 1
 #: Ordinary parts of identifiers that any corpus may lack.
 ORDINARY = "get set user name file path index count value table column request response session config default client server handler manager update delete create object string number message version buffer thread context result status error".split()
+#: Words of other languages, for their letter sequences.
+ORDINARY += "zwischen wissenschaft entwicklung verwaltung wirtschaft freundschaft hoffnung bundesrepublik autobahn kraftwerk landschaft fenster hauptstadt schlüssel dampfer pfund fahrer fluss donner geschichte gemeinschaft schiffe rechnung nachricht aussage monde toujours gouvernement beaucoup aujourd question voyage ciudad desarrollo gobierno siempre trabajo escuela noticias palabra sviluppo governo sempre lavoro scuola parola".replace("ü", "ue").split()
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -64,9 +73,9 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 class Markov:
-    """Transition log-probabilities of order 2; what was seen too little falls back on orders 1 and 0."""
+    """Transition log-probabilities of order 2; what was seen too little falls back on orders 1 and 0, and a share FLOOR on none."""
 
-    def __init__(self, samples: list[str], weight: float = 1.0):
+    def __init__(self, samples: list[str], weight: float = 8.0):
         counts = np.zeros((_N, _N, _N))
         for s in samples:
             c = codes(s)
@@ -75,7 +84,7 @@ class Markov:
         one = counts.sum(axis=0)
         one = (one + weight * zero) / (one.sum(axis=1, keepdims=True) + weight)
         two = (counts + weight * one[None]) / (counts.sum(axis=2, keepdims=True) + weight)
-        self.table = np.log(two)
+        self.table = np.log((1 - FLOOR) * two + FLOOR / _N)
 
 
 def codes(s: str) -> np.ndarray:
@@ -110,31 +119,85 @@ def identifiers(words: list[str], n: int, rng: random.Random) -> list[str]:
     return out
 
 
+def ordinary_runs(words: list[str], n: int, rng: random.Random) -> list[str]:
+    """Identifiers, single words, numbers and rules, as texts hold them."""
+    out, words = identifiers(words, n - n // 4, rng), sorted(set(words) | set(ORDINARY))
+    for _ in range(n // 4):
+        style = rng.randrange(4)
+        if style == 0:
+            w = rng.choice(words)
+            out.append(rng.choice([w, w.lower(), w.upper(), w.capitalize()]) + rng.choice(["", "-" + rng.choice(words)]))
+        elif style < 3:
+            out.append(rng.choice(["", "-"]).join(str(rng.randrange(10**6)) for _ in range(rng.randrange(1, 5))))
+        else:
+            out.append(rng.choice("-_/+-_x0") * rng.randrange(3, 80))
+    return out
+
+
 class SecretModel:
     def __init__(self, words: list[str], seed: int = 11):
         rng = random.Random(seed)
-        good, held_good = (identifiers(words, RANDOM_STRINGS, rng) for _ in range(2))
+        good, held_good = (ordinary_runs(words, RANDOM_STRINGS, rng) for _ in range(2))
         bad, held_bad = (random_strings(RANDOM_STRINGS, rng) for _ in range(2))
         self.ratio = Markov(bad).table - Markov(good).table
-        ordinary = np.sort([self.score(s) for s in held_good])
-        self.threshold = max(0.0, float(ordinary[int(np.ceil(len(ordinary) * (1 - MISTAKES))) - 1]))
-        self.recall = float(np.mean([self.score(s) > self.threshold for s in held_bad]))
+        # short runs are cut from longer ones, and ordinary ones are joined to be long enough
+        long = [f"{x}_{y}" if len(x) < LENGTHS[-1] else x for x, y in zip(held_good, held_good[1:] + held_good[:1], strict=True)]
+        at = [np.sort([self.score(s[:n]) for s in {*held_good, *long} if len(s) >= n]) for n in LENGTHS]
+        self.thresholds = [max(0.0, float(x[int(np.ceil(len(x) * (1 - MISTAKES))) - 1])) for x in at]
+        found = lambda keys: float(np.mean([bool(self.spans(k, [])) for k in keys]))
+        self.recall = found(held_bad[:2000])
+        self.recall_at = {n: found([s[:n] for s in held_bad[:2000] if len(s) >= n]) for n in LENGTHS}
+
+    def threshold(self, length: int) -> float:
+        return max(self.thresholds[bisect.bisect_right(LENGTHS, length) - 1], ODDS / length)
 
     def score(self, s: str) -> float:
         """The log-likelihood ratio a character."""
+        return float(self._ratios(s).sum()) / max(1, len(s))
+
+    def _ratios(self, s: str) -> np.ndarray:
         c = codes(s)
-        return float(self.ratio[c[:-2], c[1:-1], c[2:]].sum()) / max(1, len(s))
+        return self.ratio[c[:-2], c[1:-1], c[2:]]
+
+    def _judged(self, s: str):
+        """(start, end) of the secrets in a run."""
+        if len(s) < LEAST_LENGTH:
+            return
+        ratios = self._ratios(s)
+        if float(ratios.sum()) > self.threshold(len(s)) * len(s):
+            yield 0, len(s)
+            return
+        parts = [m.span() for m in _PART.finditer(s)]
+        if len(parts) < 2:
+            return
+        # the stretch of whole parts that exceeds the least threshold most
+        over = np.concatenate([[0.0], np.cumsum(ratios - min(self.thresholds))])
+        best, low, lead = (0.0, 0, 0), over[parts[0][0]], parts[0][0]
+        for a, b in parts:
+            if s[a] not in "+/_-" and over[a] <= low:
+                low, lead = over[a], a
+            if s[a] not in "+/_-" and over[b] - low > best[0]:
+                best = over[b] - low, lead, b
+        tries = [best[1:]] if best[2] > best[1] else []
+        a, b = tries[0] if tries else (0, 0)
+        if b - a >= LEAST_LENGTH and b - a < len(s) and self.score(s[a:b]) > self.threshold(b - a):
+            yield from self._judged(s[:a])
+            yield a, b
+            yield from ((b + x, b + y) for x, y in self._judged(s[b:]))
+            return
+        for a, b in parts:
+            if b - a >= LEAST_LENGTH and self.score(s[a:b]) > self.threshold(b - a):
+                yield a, b
 
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """base and the runs that the models call random, sorted."""
         found = []
         for m in _RUN.finditer(text):
-            s = m.group()
-            digits = sum(map(s.count, "0123456789"))
-            if digits < LEAST_DIGITS or sum(c.isalpha() for c in s) < LEAST_LETTERS or any(a < m.end() and m.start() < b for a, _, b in base):
-                continue
-            if self.score(s) > self.threshold:
-                found.append((m.start(), 3, m.end()))
+            at = m.start()
+            for a, b in [*((a, b) for a, _, b in base if a < m.end() and m.start() < b), (m.end(), m.end())]:
+                if a > at:
+                    found += [(at + x, 3, at + y) for x, y in self._judged(text[at:a])]
+                at = max(at, b)
         return sorted(base + found) if found else base
 
 
