@@ -105,26 +105,40 @@ def _mix(*parts) -> np.ndarray:
     return h
 
 
+_MIXED = _mix(np.arange(1 << 16, dtype=np.uint64))
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first powers of the base and of its inverse; kept, as every slice needs them."""
+    if len(_POWERS[0]) < n:
+        for k, b in enumerate((_BASE, _UNBASE)):
+            p = np.full(n + n // 4, b)
+            p[0] = 1
+            _POWERS[k] = np.cumprod(p)
+    return [p[:n] for p in _POWERS]
+
+
 class _Hashes:
     """Hashes of stretches of a sequence of signs."""
 
     def __init__(self, signs: np.ndarray):
         n = len(signs) + 1
-        powers = np.full(n, _BASE)
-        powers[0] = 1
-        np.cumprod(powers, out=powers)
-        self.inverse = np.full(n, _UNBASE)
-        self.inverse[0] = 1
-        np.cumprod(self.inverse, out=self.inverse)
+        powers, self.inverse = _powers(n)
+        h = _MIXED[np.minimum(signs, 0xFFFF)]
+        high = np.flatnonzero(signs > 0xFFFF)
+        h[high] = _mix(signs[high].astype(np.uint64))
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(_mix(signs.astype(np.uint64)) * powers[:-1], out=self.sums[1:])
+        np.cumsum(h * powers[:-1], out=self.sums[1:])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _mix((self.sums[b] - self.sums[a]) * self.inverse[a])
 
 
 def _sums(flags: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(flags)])
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=out[1:], dtype=np.int32)
+    return out
 
 
 def units(texts: list[str], base: list[list[tuple[int, int, int]]]) -> dict[str, np.ndarray]:
@@ -135,10 +149,9 @@ def units(texts: list[str], base: list[list[tuple[int, int, int]]]) -> dict[str,
     c = np.where(u < 1 << 16, u, 0xFFFF)
     sa = np.array([begin[i] + a for i, spans in enumerate(base) for _, a, _ in spans], np.int64)
     sb = np.array([begin[i] + b for i, spans in enumerate(base) for _, _, b in spans], np.int64)
-    depth = np.zeros(len(u) + 1, np.int64)
-    np.add.at(depth, sa, 1)
-    np.add.at(depth, sb, -1)
-    inside = np.cumsum(depth)[:-1] > 0
+    inside = np.zeros(len(u), bool)
+    for a, b in zip(sa.tolist(), sb.tolist(), strict=True):
+        inside[a:b] = True
     # words: between blanks, and cut where a fixed span begins or ends, and after a label that is written together with its value
     full = ~_IS_BLANK[c] | inside
     cut = np.zeros(len(u) + 1, bool)
