@@ -15,10 +15,12 @@ repeated results; an empty table gives an empty result; other columns are ignore
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from array import array
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,10 @@ from pyspark.sql import DataFrame
 from .common import map_texts, pick
 
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces whose ids a worker remembers before it starts anew.
-MEMORY = 300_000
+#: Bytes of pieces and ids, about, that a worker remembers before it starts anew; what an entry costs besides; longer pieces are not remembered.
+MEMORY_BYTES, ENTRY_BYTES, LONG_PIECE = 48 << 20, 300, 64
 #: Pairs of tokens whose compatibility a worker remembers before it starts anew.
-PAIRS = 500_000
+PAIRS = 200_000
 _END = 256
 
 
@@ -54,7 +56,10 @@ def byte_letters() -> list[str]:
 
 
 class SuffixAutomaton:
-    """Of all tokens (sequences of symbols): from the longest suffix that occurs in a token, to the tokens it ends with."""
+    """Of all tokens (sequences of symbols): from the longest suffix that occurs in a token, to the tokens it ends with.
+
+    ``to`` maps state << 9 | symbol to a state; following ``up`` from a state gives the tokens that end there, long ones first.
+    """
 
     def __init__(self, tokens: dict[tuple[int, ...], int]):
         self.length, self.link, self.to = [0], [-1], {}
@@ -64,19 +69,17 @@ class SuffixAutomaton:
             for symbol in token:
                 last = self._extend(last, symbol)
         del self.children
-        self.ends: list[list[tuple[int, int]]] = [[] for _ in self.length]
+        # a token is the longest string of its state, so a state has one at most
+        self.token = [-1] * len(self.length)
         for token, name in tokens.items():
             state = 0
             for symbol in token:
                 state = self.to[state << 9 | symbol]
-            self.ends[state].append((len(token), name))
-        for e in self.ends:
-            e.sort(reverse=True)
-        order = sorted(range(1, len(self.length)), key=self.length.__getitem__)
-        self.next = [0] * len(self.length)  # the nearest suffix state with tokens
-        for s in order:
-            up = self.link[s]
-            self.next[s] = up if up and self.ends[up] else self.next[up] if up > 0 else 0
+            self.token[state] = name
+        self.up = [0] * len(self.length)  # the nearest suffix state with a token
+        for s in sorted(range(1, len(self.length)), key=self.length.__getitem__):
+            link = self.link[s]
+            self.up[s] = link if link and self.token[link] >= 0 else self.up[link] if link > 0 else 0
 
     def _state(self, length: int, link: int) -> int:
         self.length.append(length)
@@ -110,64 +113,103 @@ class SuffixAutomaton:
         return new
 
 
+@dataclass(frozen=True)
+class Tables:
+    """A vocabulary as flat arrays, a few MB: made once on the driver and sent to the workers; its size is that of the vocabulary."""
+
+    names: list[str]
+    special: dict[str, int]
+    #: The tokenizer file without its vocabulary: the library normalises and splits what is not plain Latin.
+    frame: str
+    steps: np.ndarray  # state << 9 | symbol of each step of the automaton
+    targets: np.ndarray
+    length: np.ndarray
+    link: np.ndarray
+    token: np.ndarray  # the token that is a state's longest string, or -1
+    up: np.ndarray  # the nearest suffix state with a token, or 0
+    pairs: np.ndarray  # first << 20 | second of each merge, by rank
+    parts: np.ndarray  # (2, tokens): what a token is merged from, or -1
+    rank: np.ndarray  # at which rank
+
+
+def tables(path: str) -> Tables:
+    """Of a tokenizer file (byte-level BPE with a word-end suffix and no decoder)."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    suffix, letters = model["end_of_word_suffix"], {c: b for b, c in enumerate(byte_letters())}
+
+    def symbols(token: str) -> tuple[int, ...]:
+        body = token[: -len(suffix)] if token.endswith(suffix) else token
+        out = [letters[c] for c in body]
+        if body is not token:
+            out[-1] += _END
+        return tuple(out)
+
+    vocab: dict[str, int] = model["vocab"]
+    by_id = {i: t for t, i in [*vocab.items(), *special.items()]}
+    size = max(by_id) + 1
+    if size > 1 << 20:
+        raise ValueError("more than 2**20 tokens")
+    pairs, parts, rank = [], np.full((2, size), -1, np.int32), np.full(size, len(model["merges"]), np.int32)
+    for k, merge in enumerate(model["merges"]):
+        a, b = merge if isinstance(merge, list) else merge.split(" ")
+        whole = vocab[a + b]
+        pairs.append(vocab[a] << 20 | vocab[b])
+        if parts[0, whole] < 0:
+            parts[:, whole], rank[whole] = (vocab[a], vocab[b]), k
+    reachable = {s: i for t, i in vocab.items() if len(s := symbols(t)) == 1 or parts[0, i] >= 0}
+    auto = SuffixAutomaton(reachable)
+    frame = json.dumps({**spec, "added_tokens": [], "post_processor": None, "model": {"type": "BPE", "vocab": {}, "merges": []}})
+    ints = lambda x: np.array(x, np.int32)
+    return Tables([by_id.get(i, "") for i in range(size)], special, frame, np.fromiter(auto.to, np.int64, len(auto.to)), ints(list(auto.to.values())), ints(auto.length), ints(auto.link), ints(auto.token), ints(auto.up), np.array(pairs, np.int64), parts, rank)
+
+
 class WordBpe:
-    """Encoder and decoder of a tokenizer file (byte-level BPE with a word-end suffix and no decoder)."""
+    """Encoder and decoder."""
 
-    def __init__(self, path: str):
+    def __init__(self, of: Tables | str):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        tok = Tokenizer.from_file(path)
+        t = tables(of) if isinstance(of, str) else of
+        tok = Tokenizer.from_str(t.frame)
         self.normalize, self.split = tok.normalizer.normalize_str, tok.pre_tokenizer.pre_tokenize_str
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = t.special
         self.special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        suffix, letters = model["end_of_word_suffix"], {c: b for b, c in enumerate(byte_letters())}
-        self.letters = letters
-
-        def symbols(token: str) -> tuple[int, ...]:
-            body = token[: -len(suffix)] if token.endswith(suffix) else token
-            out = [letters[c] for c in body]
-            if body is not token:
-                out[-1] += _END
-            return tuple(out)
-
-        vocab: dict[str, int] = model["vocab"]
-        self.names = {i: t for t, i in [*vocab.items(), *self.special.items()]}
-        self.rank: dict[tuple[int, int], int] = {}
-        parts: dict[int, tuple[int, int, int]] = {}
-        for k, merge in enumerate(model["merges"]):
-            a, b = merge if isinstance(merge, list) else merge.split(" ")
-            whole = vocab[a + b]
-            self.rank[vocab[a], vocab[b]] = k
-            parts.setdefault(whole, (k, vocab[a], vocab[b]))
-        # for each token, its outermost part and the rank at which that part is merged away, from the whole token inwards
-        never = len(model["merges"])
-
-        def edge(token: int, side: int) -> list[tuple[int, int]]:
-            out, until = [(token, never)], never
-            while token in parts:
-                until, token = parts[token][0], parts[token][side]
-                out.append((token, until))
-            return out
-
-        self.left = {i: edge(i, 1) for i in vocab.values()}
-        self.right = {i: edge(i, 2) for i in vocab.values()}
-        reachable = {symbols(t): i for t, i in vocab.items() if len(symbols(t)) == 1 or i in parts}
-        self.automaton = SuffixAutomaton(reachable)
-        self.width = {i: len(s) for s, i in reachable.items()}
+        self.letters = {c: b for b, c in enumerate(byte_letters())}
+        self.names = t.names
+        self.to = dict(zip(t.steps.tolist(), t.targets.tolist(), strict=True))
+        self.ranks = {p: k for k, p in reversed(list(enumerate(t.pairs.tolist())))}
+        flat = lambda x: array("i", x.astype(np.intc).tobytes())
+        self.length, self.link = t.length.tolist(), t.link.tolist()
+        self.token, self.up = flat(t.token), flat(t.up)
+        self.endings: dict[int, tuple] = {}  # as many as states at most
+        self.left, self.right, self.merged = flat(t.parts[0]), flat(t.parts[1]), flat(t.rank)
+        width = np.zeros(len(t.names), np.intc)
+        ends = t.token >= 0
+        width[t.token[ends]] = t.length[ends]
+        self.width = flat(width)
         self.agree: dict[int, bool] = {}
-        self.known_endings: dict[int, tuple] = {}
         self.memory: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
+        self.held = 0
+
+    def _edge(self, token: int, side: array) -> list[tuple[int, int]]:
+        """A token's outermost part on a side and the rank at which that part is merged away, from the whole token inwards."""
+        out, until = [(token, len(self.ranks))], 0
+        while side[token] >= 0:
+            until, token = self.merged[token], side[token]
+            out.append((token, until))
+        return out
 
     def _compatible(self, first: int, second: int) -> bool:
         """True if the text of both tokens is encoded as these two."""
-        right, left, rank = self.right[first], self.left[second], self.rank
+        right, left, rank = self._edge(first, self.right), self._edge(second, self.left), self.ranks
         i, j = len(right) - 1, len(left) - 1
         while True:
             (a, a_until), (b, b_until) = right[i], left[j]
-            across = rank.get((a, b))
+            across = rank.get(a << 20 | b)
             # of equal ranks the merge further left comes first
             if across is not None and across < a_until and across <= b_until:
                 return False
@@ -178,33 +220,34 @@ class WordBpe:
             else:
                 j -= 1
 
-    def endings(self, state: int) -> tuple[tuple[int, int], ...]:
-        """(size, token) of all tokens that are suffixes of the state's longest string, long ones first."""
-        auto, out = self.automaton, []
-        s = state if auto.ends[state] else auto.next[state]
+    def _endings(self, state: int) -> tuple[tuple[int, int], ...]:
+        """(size, token) of all tokens that end at a state, long ones first."""
+        out, s = [], state if self.token[state] >= 0 else self.up[state]
         while s > 0:
-            out += auto.ends[s]
-            s = auto.next[s]
-        got = self.known_endings[state] = tuple(out)
+            out.append((self.length[s], self.token[s]))
+            s = self.up[s]
+        got = self.endings[state] = tuple(out)
         return got
 
     def encode_piece(self, symbols: list[int]) -> list[int]:
         """Ids of a piece: the last token of each prefix, then back along the pointers."""
-        auto = self.automaton
-        to, length, link, known, agree, never = auto.to, auto.length, auto.link, self.known_endings, self.agree, -1
-        last, at = [never], 0
+        go, length, link, endings, agree = self.to.get, self.length, self.link, self.endings.get, self.agree
+        fit = agree.get
+        last, at = [-1], 0
         state = matched = 0
         for symbol in symbols:
             at += 1
-            go = to.get(state << 9 | symbol)
-            while go is None and state:
+            to = go(state << 9 | symbol)
+            while to is None and state:
                 state = link[state]
                 matched = length[state]
-                go = to.get(state << 9 | symbol)
-            if go is None:
+                to = go(state << 9 | symbol)
+            if to is None:
                 raise ValueError("a symbol is not in the vocabulary")
-            state, matched, found = go, matched + 1, never
-            for size, token in known.get(state) or self.endings(state):
+            state = to
+            matched += 1
+            found = -1
+            for size, token in endings(state) or self._endings(state):
                 if size <= matched:
                     if size == at:
                         found = token
@@ -212,7 +255,7 @@ class WordBpe:
                     before = last[at - size]
                     if before >= 0:
                         pair = before << 20 | token
-                        fits = agree.get(pair)
+                        fits = fit(pair)
                         if fits is None:
                             if len(agree) >= PAIRS:
                                 agree.clear()
@@ -232,9 +275,22 @@ class WordBpe:
         symbols = list(piece.encode())
         symbols[-1] += _END
         ids = self.encode_piece(symbols)
-        if len(self.memory) >= MEMORY:
-            self.memory.clear()
-        got = self.memory[piece] = (np.array(ids, "<u4").tobytes(), "".join([" " + self.names[i] for i in ids]))
+        got = np.array(ids, "<u4").tobytes(), "".join([" " + self.names[i] for i in ids])
+        if len(piece) <= LONG_PIECE:
+            self._remember(piece, got)
+        return got
+
+    def _remember(self, piece: str, got: tuple[bytes, str]) -> None:
+        """In two halves: when the young one is full the old one goes, so that what is met often stays."""
+        self.held += ENTRY_BYTES + len(piece) + 5 * len(got[0]) // 2
+        if self.held > MEMORY_BYTES // 2:
+            self.old, self.memory, self.held = self.memory, {}, 0
+        self.memory[piece] = got
+
+    def _again(self, piece: str) -> tuple[bytes, str] | None:
+        got = self.old.get(piece)
+        if got:
+            self._remember(piece, got)
         return got
 
     def pieces(self, text: str) -> list[str]:
@@ -246,25 +302,32 @@ class WordBpe:
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids of a text in 4 bytes each, and the decoded text."""
-        ids, words, get = [], [], self.memory.get
+        ids, words = [], []
         for part in self.special_cut.split(text) if self.special_cut else [text]:
             if part in self.special:
                 ids.append(np.array([self.special[part]], "<u4").tobytes())
                 words.append(" " + part)
             elif part:
                 for piece in self.pieces(part):
-                    a, b = get(piece) or self.piece(piece)
-                    ids.append(a)
-                    words.append(b)
+                    got = self.memory.get(piece) or self._again(piece) or self.piece(piece)
+                    ids.append(got[0])
+                    words.append(got[1])
         return b"".join(ids), "".join(words)[1:]
 
     def decode(self, ids: bytes) -> str:
         return " ".join(self.names[i] for i in np.frombuffer(ids, "<u4").tolist())
 
 
-@lru_cache(1)
-def encoder(path: str) -> WordBpe:
-    return WordBpe(path)
+#: Of this worker: the last vocabulary's number and its encoder.
+_READY: dict[int, WordBpe] = {}
+_NUMBERS = itertools.count(1)
+
+
+def encoder(number: int, of: Tables) -> WordBpe:
+    if number not in _READY:
+        _READY.clear()
+        _READY[number] = WordBpe(of)
+    return _READY[number]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -276,9 +339,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row for each row of df: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ids (binary, 4 bytes each, little-endian)."""
     t = pick(df, doc_id=id_col, text=text_col)
+    path = path or vocabulary_path()
+    known = df.sparkSession.sparkContext.broadcast((next(_NUMBERS), tables(path)))
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = encoder(path or vocabulary_path())  # a file of each machine's own installation
+        bpe = encoder(*known.value)
         ids, n, sha, out = [], [], [], []
         for text in batch["text"].to_pylist():
             got, decoded = bpe.encode(text or "")

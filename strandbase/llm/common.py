@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_root
+
 #: Rows whose texts exceed this many bytes in an Arrow batch are worked off in several steps.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def pick(df: DataFrame, **want: str) -> DataFrame:
@@ -24,20 +26,6 @@ def pick(df: DataFrame, **want: str) -> DataFrame:
     return flat.select(*(F.col(f"c{names.index(old)}").alias(new) for new, old in want.items()))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, deleted when the session's JVM ends."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="strandbase-")  # one machine: tests
-    out = f"{root.rstrip('/')}/strandbase-{uuid.uuid4().hex}"
-    path = sc._jvm.org.apache.hadoop.fs.Path(out)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return out
-
-
 class Tables:
     """Written intermediate tables: they cut the lineage, survive lost executors, and let shuffle files go."""
 
@@ -85,13 +73,33 @@ def sliced(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES)
         at = to
 
 
+@lru_cache(1)
+def _trim() -> Callable[[int], object]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: None
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: workers live on between tasks, beside a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def settled(parts: Iterable) -> Iterator:
+    """parts, and then the worker's free memory goes back."""
+    try:
+        yield from parts
+    finally:
+        release_memory()
+
+
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
     """df through fn, slice by slice; fn maps a batch of rows to a batch of results."""
 
     def run(batches):
-        for batch in batches:
-            for part in sliced(batch, column):
-                yield fn(part)
+        return settled(fn(part) for batch in batches for part in sliced(batch, column))
 
     return df.mapInArrow(run, schema)
 

@@ -40,6 +40,6 @@ def test_random_texts(both):
 def test_vocabulary_words(both):
     own, _ = both
     rng = random.Random(4)
-    names = sorted(own.names.values())
+    names = sorted(own.names)
     for _ in range(3000):
         same(both, "".join(rng.choice(names).replace("</w>", rng.choice(["", " "])) for _ in range(rng.randrange(1, 5))))
