@@ -29,21 +29,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Tables, map_texts, pick, sliced
-from .shingles import class_hashes, mixed, shingle_sets, words_of_texts
+from .common import Tables, map_texts, pick, release_memory, settled, sliced
+from .shingles import class_hashes, shingle_sets, words_of_texts
 
 WIDTH = 5
 #: Jaccard similarity of at least THRESHOLD / 100.
 THRESHOLD = 75
 #: Tokens of a hash range, about: what one task of step 2 holds at once.
-RANGE_TOKENS = 4_000_000
+RANGE_TOKENS = 3_000_000
 #: Tokens that a task of step 2 gathers before it sends them on.
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_500_000
 #: Classes of a group of step 3, about.
 GROUP_CLASSES = 4_000
 #: Cost of verifying a candidate, in scanned postings.
 VERIFY_COST = 50.0
 MAX_MATCHES = 64
+#: Postings of a list that one task works off together, about; longer lists are cut into blocks by class.
+LIST_BLOCK = 256
 PIVOT_ROUNDS = 3
 #: Cells of a sketch, a multiple of 64. More cells decide longer sets; too few only let more pairs through to be verified.
 SKETCH_BITS = 256
@@ -65,16 +67,29 @@ def document_classes(df: DataFrame, width: int = WIDTH) -> DataFrame:
     return map_texts(df, fn, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, class long, n_shingles long")
 
 
-_PACKED = "range int, classes binary, counts binary, low binary, high binary"
+_PACKED = "range int, classes binary, counts binary, tokens binary"
+
+
+def _end_to_end(table: pa.Table, column: str, kind) -> np.ndarray:
+    """The values of a binary column, one row after another, as numbers; without a copy of each row."""
+    parts = []
+    for chunk in table[column].chunks:
+        if len(chunk):
+            off = np.frombuffer(chunk.buffers()[1], np.int64 if pa.types.is_large_binary(chunk.type) else np.int32)
+            a, b = int(off[chunk.offset]), int(off[chunk.offset + len(chunk)])
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[a:b] if b > a else np.zeros(0, np.uint8))
+    return (np.concatenate(parts) if len(parts) != 1 else parts[0].copy()).view(kind) if parts else np.zeros(0, kind)
 
 
 def _packed_tokens(df: DataFrame, ranges: int, width: int) -> DataFrame:
-    """Tokens by hash range: the classes with tokens there and their token counts, then 48 bits of each token."""
+    """Tokens by hash range: the classes with tokens there and their token counts, then the tokens."""
 
     def run(batches):
+        return settled(gathered(batches))
+
+    def gathered(batches):
         held, size, seen = [], 0, set()
         for batch in batches:
-            at = 0
             for part in sliced(batch):
                 words, off = words_of_texts(part["text"])
                 text, token = shingle_sets(words, off, width)
@@ -86,14 +101,15 @@ def _packed_tokens(df: DataFrame, ranges: int, width: int) -> DataFrame:
                 held.append((cls[text], token))
                 size += len(token)
                 if size >= FLUSH_TOKENS:
-                    yield from flush(held)
-                    held, size = [], 0
+                    got, held, size = held, [], 0
+                    yield from flush(got)
         yield from flush(held)
 
     def flush(held):
         if not held:
             return
         cls, token = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         # the range is the high part of the token times the number of ranges, so ranges may be any number
         where = ((token >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
         order = np.argsort(where, kind="stable")
@@ -103,17 +119,16 @@ def _packed_tokens(df: DataFrame, ranges: int, width: int) -> DataFrame:
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             head = np.concatenate([[0], np.flatnonzero(np.diff(cls[a:b])) + 1])
             counts = np.diff(np.concatenate([head, [b - a]])).astype(np.uint32)
-            t = token[a:b]
-            rows.append((int(where[a]), cls[a:b][head].tobytes(), counts.tobytes(), t.astype(np.uint32).tobytes(), ((t >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()))
-            if len(rows) == 256:
+            rows.append((int(where[a]), cls[a:b][head].tobytes(), counts.tobytes(), token[a:b].tobytes()))
+            if len(rows) == 64:
                 yield _rows(rows)
                 rows = []
         if rows:
             yield _rows(rows)
 
     def _rows(rows):
-        kinds = [pa.int32(), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "classes", "counts", "low", "high"])
+        kinds = [pa.int32(), *[pa.binary()] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "classes", "counts", "tokens"])
 
     return df.mapInArrow(run, _PACKED)
 
@@ -125,21 +140,27 @@ def _shared_tokens(packed: DataFrame, groups: int) -> DataFrame:
     """Tokens of two classes or more with their class counts, packed by group of classes."""
 
     def fn(key, table):
-        cls, tok = [], []
-        for classes, counts, low, high in zip(*(table[c].to_pylist() for c in ("classes", "counts", "low", "high")), strict=True):
-            cls.append(np.repeat(np.frombuffer(classes, np.uint64), np.frombuffer(counts, np.uint32)))
-            tok.append(np.frombuffer(low, np.uint32).astype(np.uint64) | np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32))
-        cls, tok = np.concatenate(cls), np.concatenate(tok)
+        cls = np.repeat(_end_to_end(table, "classes", np.uint64), _end_to_end(table, "counts", np.uint32))
+        tok = _end_to_end(table, "tokens", np.uint64)
+        release_memory()
+        order = np.argsort(tok)
+        cls, tok = cls[order], tok[order]
+        order = None
+        # only tokens that stand there twice can be of two classes
+        same = tok[1:] == tok[:-1]
+        some = np.zeros(len(tok), bool)
+        some[1:] |= same
+        some[:-1] |= same
+        cls, tok = cls[some], tok[some]
         order = np.lexsort((cls, tok))
         cls, tok = cls[order], tok[order]
         fresh = np.ones(len(tok), bool)  # the same class from another task
         fresh[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])
         cls, tok = cls[fresh], tok[fresh]
-        head = np.concatenate([[0], np.flatnonzero(np.diff(tok)) + 1, [len(tok)]])
+        head = np.concatenate([[0], np.flatnonzero(np.diff(tok)) + 1, [len(tok)]]) if len(tok) else np.zeros(1, int)
         df = np.repeat(np.diff(head), np.diff(head)).astype(np.uint32)
         some = df > 1
-        cls, tok, df = cls[some], tok[some], df[some]
-        full = mixed_key(tok, int(key[0].as_py()))
+        cls, full, df = cls[some], tok[some], df[some]
         grp = (cls >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
         order = np.lexsort((cls, grp))
         cls, full, df, grp = cls[order], full[order], df[order], grp[order]
@@ -155,11 +176,6 @@ def _shared_tokens(packed: DataFrame, groups: int) -> DataFrame:
     return packed.groupBy("range").applyInArrow(fn, _SHARED)
 
 
-def mixed_key(tok: np.ndarray, where: int) -> np.ndarray:
-    """One 64-bit key of a token's 48 bits and its range."""
-    return mixed(tok ^ mixed(np.full(1, where + 1, np.uint64)))
-
-
 def match_count(df: np.ndarray, unique: int, n: int, o: int) -> int:
     """The cheapest match count m. df: document counts of the shared tokens in the global order."""
     most = min(o, MAX_MATCHES)
@@ -168,7 +184,7 @@ def match_count(df: np.ndarray, unique: int, n: int, o: int) -> int:
     return int(np.argmin(scan * (1 + VERIFY_COST / np.arange(1, most + 1)))) + 1
 
 
-_NODES = "class long, n int, m int, keys array<bigint>, prefix int, unique int, sketch array<bigint>"
+_NODES = "class long, n int, m int, keys array<bigint>, blocks array<int>, unique int, sketch array<bigint>"
 
 
 def sketch(tok: np.ndarray) -> np.ndarray:
@@ -178,15 +194,12 @@ def sketch(tok: np.ndarray) -> np.ndarray:
 
 
 def _nodes(shared: DataFrame, sizes: DataFrame, groups: int, threshold: int) -> DataFrame:
-    """Of each class that may have a partner: set size, match count, shared tokens in the global order, how many are posted, sketch. sizes: class, n."""
+    """Of each class that may have a partner: set size, match count, shared tokens in the global order, blocks of the lists of those posted, sketch. sizes: class, n."""
 
     def fn(key, table, known):
-        cls, tok, df = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
-        for classes, counts, keys, dfs in zip(*(table[c].to_pylist() for c in ("classes", "counts", "keys", "df")), strict=True):
-            cls.append(np.repeat(np.frombuffer(classes, np.uint64), np.frombuffer(counts, np.uint32)))
-            tok.append(np.frombuffer(keys, np.uint64))
-            df.append(np.frombuffer(dfs, np.uint32))
-        cls, tok, df = (np.concatenate(x) for x in (cls, tok, df))
+        cls = np.repeat(_end_to_end(table, "classes", np.uint64), _end_to_end(table, "counts", np.uint32))
+        tok, df = _end_to_end(table, "keys", np.uint64), _end_to_end(table, "df", np.uint32)
+        release_memory()
         size_of = dict(zip(known["class"].to_pylist(), known["n"].to_pylist(), strict=True))
         order = np.lexsort((tok, df, cls))
         cls, tok, df = _i64(cls[order]), tok[order], df[order]
@@ -198,10 +211,11 @@ def _nodes(shared: DataFrame, sizes: DataFrame, groups: int, threshold: int) ->
             o = -(-threshold * size // 100)
             if b - a >= o:
                 m = match_count(df[a:b], unique, size, o)
-                rows.append((int(cls[a]), size, m, _i64(tok[a:b]), size - o + m - unique, unique, sketch(tok[a:b])))
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+                blocks = (df[a : a + max(0, size - o + m - unique)] // LIST_BLOCK + 1).astype(np.int32)
+                rows.append((int(cls[a]), size, m, _i64(tok[a:b]), blocks, unique, sketch(tok[a:b])))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int64())]
         cols = list(zip(*rows, strict=True)) or [()] * 7
-        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["class", "n", "m", "keys", "prefix", "unique", "sketch"])
+        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["class", "n", "m", "keys", "blocks", "unique", "sketch"])
 
     # the group as _shared_tokens counts it: the high half of the class, unsigned, times the number of groups
     known = sizes.select(F.shiftright(F.shiftrightunsigned("class", 32) * F.lit(groups), 32).cast("int").alias("grp"), "class", "n")
@@ -291,11 +305,14 @@ def components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD,
     nodes = tables.keep(_nodes(shared, sizes, groups, threshold), "nodes")
     tables.release()
     tables.drop(shared)
-    posted = nodes.select("class", "n", "m", "unique", F.size("keys").alias("s"), F.posexplode(F.slice("keys", F.lit(1), F.greatest("prefix", F.lit(0)))).alias("i", "key"))
+    first = F.transform(F.slice("keys", F.lit(1), F.size("blocks")), lambda key, i: F.struct(key.alias("key"), F.get("blocks", i).alias("blocks")))
+    posted = nodes.select("class", "n", "m", "unique", F.size("keys").alias("s"), F.posexplode(first).alias("i", "at")).withColumns({"key": F.col("at.key"), "blocks": F.col("at.blocks")})
     # the match count from which a token is in the prefix
     level = F.greatest(F.lit(1), F.col("unique") + F.col("i") - (F.col("n") - F.expr(f"cast(ceil({threshold} * n / 100) as int)")) + 1)
     me = F.struct("class", "n", "s", "i", level.cast("int").alias("l"), "m").alias("me")
-    posts = tables.keep(posted.select("key", "class", "unique", me), "posts")
+    posts = tables.keep(posted.select("key", "blocks", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), "class", "unique", me), "posts")
+    # what is known of a list goes to each of its blocks
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     labels = tables.keep(nodes.select("class", F.col("class").alias("comp")), "labels")
     done = None
     for k in range(rounds + 1):
@@ -305,8 +322,8 @@ def components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD,
         else:
             p = posts.withColumn("comp", F.col("class"))
         # a posting that is too late in its set, even for the smallest set in the list, proposes no pair there
-        least = p.groupBy("key").agg(F.min("me.n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("lk"), "least")
-        p = p.join(least, p.key == least.lk).where((100 + threshold) * (F.col("me.s") - F.col("me.i") + F.col("me.m") - 1) >= threshold * (F.col("me.n") + F.col("least"))).drop("lk", "least")
+        least = p.groupBy("key").agg(F.min("me.n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("blocks").alias("blocks")).where("lo < hi").select(F.col("key").alias("lk"), each.alias("lb"), "least")
+        p = p.join(least, (p.key == least.lk) & (p.block == least.lb)).where((100 + threshold) * (F.col("me.s") - F.col("me.i") + F.col("me.m") - 1) >= threshold * (F.col("me.n") + F.col("least"))).drop("lk", "lb", "least")
         # components only grow, so a list that is within one of them now, and a posting too late now, will never propose again
         p, spent = tables.keep(p, "live"), posts
         tables.release()
@@ -315,17 +332,18 @@ def components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD,
         if k < rounds:
             # the first pivot is the set with the smallest share of tokens of its own, which is nearest to all; later ones are random
             by = F.struct(F.when(F.lit(k == 0), F.col("unique") / F.col("me.n")), F.xxhash64("class", F.lit(k)))
-            lists = p.groupBy("key").agg(F.min_by(F.struct("me", "comp"), by).alias("v")).select(F.col("key").alias("vk"), "v")
-            pairs = p.join(lists, p.key == lists.vk).where("comp <> v.comp").select(F.col("me").alias("x"), F.col("v.me").alias("y"))
+            lists = p.groupBy("key").agg(F.min_by(F.struct("me", "comp"), by).alias("v"), F.max("blocks").alias("blocks")).select(F.col("key").alias("vk"), each.alias("vb"), "v")
+            pairs = p.join(lists, (p.key == lists.vk) & (p.block == lists.vb)).where("comp <> v.comp").select(F.col("me").alias("x"), F.col("v.me").alias("y"))
         else:
-            by = p.groupBy("key", "comp").agg(F.count("*").alias("c"))
-            main = by.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select(F.col("key").alias("mk"), "main")
-            p = p.join(main, p.key == main.mk).drop("mk")
+            by = p.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max("blocks").alias("blocks"))
+            main = by.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.max("blocks").alias("blocks")).where("comps > 1").select(F.col("key").alias("mk"), each.alias("mb"), "main")
+            p = p.join(main, (p.key == main.mk) & (p.block == main.mb)).drop("mk", "mb")
             bits = nodes.select(F.col("class").alias("k"), "sketch")
             p = p.join(bits, p["class"] == bits.k)
-            out = p.where("comp <> main").select("key", F.col("me").alias("x"), F.col("comp").alias("cx"), F.col("sketch").alias("sx"))
-            rest = p.select(F.col("key").alias("k2"), F.col("me").alias("y"), F.col("comp").alias("cy"), "main", F.col("sketch").alias("sy"))
-            pairs = out.join(rest, (out.key == rest.k2) & (out.cx != rest.cy) & ((rest.cy == rest.main) | (out.x["class"] < rest.y["class"])) & _fits(threshold) & _alike(threshold))
+            # the smaller side meets every block of the other
+            out = p.where("comp <> main").select("key", each.alias("xb"), F.col("me").alias("x"), F.col("comp").alias("cx"), F.col("sketch").alias("sx"))
+            rest = p.select(F.col("key").alias("k2"), "block", F.col("me").alias("y"), F.col("comp").alias("cy"), "main", F.col("sketch").alias("sy"))
+            pairs = out.join(rest, (out.key == rest.k2) & (out.xb == rest.block) & (out.cx != rest.cy) & ((rest.cy == rest.main) | (out.x["class"] < rest.y["class"])) & _fits(threshold) & _alike(threshold))
             pairs = pairs.select("x", "y")
         fresh = _candidates(pairs, threshold)
         if done is not None:
@@ -371,19 +389,18 @@ def keep_one(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) ->
     flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
     text, doc = names.index("text"), names.index("doc_id")
 
-    def run(batches):
-        for batch in batches:
-            for part in sliced(batch, f"c{text}"):
-                words, off = words_of_texts(part.column(text))
-                cls = pa.array(_i64(class_hashes(words, off)), mask=np.diff(off) == 0)
-                yield pa.RecordBatch.from_arrays([*part.columns, cls], [*part.schema.names, "word_class"])
+    def with_class(part: pa.RecordBatch) -> pa.RecordBatch:
+        words, off = words_of_texts(part.column(text))
+        cls = pa.array(_i64(class_hashes(words, off)), mask=np.diff(off) == 0)
+        return pa.RecordBatch.from_arrays([*part.columns, cls], [*part.schema.names, "word_class"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema)
-    classed = flat.mapInArrow(run, f"{kinds}, word_class long").withColumn("key", one(F.col(f"c{doc}"), F.col("word_class")))
+    classed = map_texts(flat, with_class, f"{kinds}, word_class long", f"c{text}").withColumn("key", one(F.col(f"c{doc}"), F.col("word_class")))
     wordless = classed.where("word_class is null").select(*flat.columns)
     found = classed.where("word_class is not null").join(kept, F.col("key") == F.col("kept_key"), "left_semi")
-    # rows that repeat both id and words: one of them stays
-    alone = found.withColumn("rn", F.row_number().over(W.partitionBy("key").orderBy(F.lit(0)))).where("rn = 1").select(*flat.columns)
+    # of rows that repeat both id and words one stays, the same in every run: that of the least hash of all its columns
+    order = F.xxhash64(*(F.col(f.name) for f in flat.schema if "map<" not in f.dataType.simpleString()))
+    alone = found.withColumn("rn", F.row_number().over(W.partitionBy("key").orderBy(order))).where("rn = 1").select(*flat.columns)
     return alone.union(wordless).toDF(*names)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, pick, sliced, text_bytes
+from .common import map_texts, pick, text_bytes
 from .shingles import shingle_sets, words_of_texts
 
 LABELLED_ROWS = 20_000
@@ -217,16 +217,14 @@ def keep_good(docs: DataFrame, model: CoTrained | None) -> DataFrame:
     flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
     at = {k: names.index(k) if k in names else None for k in ("text", "source", "lang", "n_chars")}
 
-    def run(batches):
-        for batch in batches:
-            for part in sliced(batch, f"c{at['text']}"):
-                nothing = pa.nulls(part.num_rows, pa.string())
-                view = {k: nothing if i is None else part.column(i) for k, i in at.items()}
-                view["source"], view["lang"] = view["source"].cast(pa.string()), view["lang"].cast(pa.string())
-                good = np.round(scored(model, pa.RecordBatch.from_pydict(view)), 6) >= KEEP_FROM
-                yield part.filter(pa.array(good))
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        nothing = pa.nulls(part.num_rows, pa.string())
+        view = {k: nothing if i is None else part.column(i) for k, i in at.items()}
+        view["source"], view["lang"] = view["source"].cast(pa.string()), view["lang"].cast(pa.string())
+        good = np.round(scored(model, pa.RecordBatch.from_pydict(view)), 6) >= KEEP_FROM
+        return part.filter(pa.array(good))
 
-    return flat.mapInArrow(run, flat.schema).toDF(*names)
+    return map_texts(flat, run, flat.schema, f"c{at['text']}").toDF(*names)
 
 
 def op6_quality_cotraining(spark, sf_dir: str) -> DataFrame:

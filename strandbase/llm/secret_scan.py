@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, pick, sliced
+from .common import map_texts, pick
 
 SAMPLE_DOCS = 2_000
 SAMPLE_WORDS = 20_000
@@ -256,18 +256,16 @@ def redact(docs: DataFrame, model: SecretModel | None = None) -> DataFrame:
     flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
-    def run(batches):
-        for batch in batches:
-            for part in sliced(batch, f"c{at}"):
-                texts = part.column(at).to_pylist()
-                new = [t if t is None else masked(t, model.spans(t, base_spans(t))) for t in texts]
-                part = part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
-                if size is not None:
-                    chars = [n if a == b else len(b) for n, a, b in zip(part.column(size).to_pylist(), texts, new, strict=True)]
-                    part = part.set_column(size, part.schema.field(size), pa.array(chars, part.schema.field(size).type))
-                yield part
-
-    return flat.mapInArrow(run, flat.schema).toDF(*names)
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = part.column(at).to_pylist()
+        new = [t if t is None else masked(t, model.spans(t, base_spans(t))) for t in texts]
+        part = part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
+        if size is not None:
+            chars = [n if a == b else len(b) for n, a, b in zip(part.column(size).to_pylist(), texts, new, strict=True)]
+            part = part.set_column(size, part.schema.field(size), pa.array(chars, part.schema.field(size).type))
+        return part
+
+    return map_texts(flat, run, flat.schema, f"c{at}").toDF(*names)
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
