@@ -7,10 +7,10 @@ blanks, dots or brackets between them are one. Patterns and instances are scored
 accepted so far support is as sure as the mean score of all its instances, held down while it has few; what stands in a sure pattern is
 accepted, as sure as its sure patterns together, and may support other patterns in the next round. Patterns that end up sure give their unseen instances.
 
-Texts are read again in each round, once for the patterns of accepted instances and once for all instances of the supported
-patterns; only these pairs (two hashes, distinct) are shuffled. Words of running text stand before anything: where one slice of texts
-alone holds more instances than the pattern's support allows for, the slice gives one row for it, not its pairs. Accepted instances and supported
-patterns are sent to the workers, at 8 and 16 bytes each.
+The graph's tables stay in Spark. What is sent to the workers is the supported patterns and the newly accepted instances, MOST_SENT at a time. For a
+pattern only lines with its words are looked at. Words of running text stand before anything: a pattern seen with more instances than its support allows
+for can't be sure, and a part of the texts that shows them proves it, so such patterns are ruled out on a part, and on
+no more; all instances of the others are found in all texts. A seed supports the patterns around its spans, an accepted instance those around all its occurrences.
 
 Defined results: a null text counts as empty and has no spans; very long texts are scanned whole; repeated rows give repeated
 results, and count once as support (support is by distinct instance); ties don't arise, scores are not ranked; an empty
@@ -19,7 +19,9 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -34,6 +36,10 @@ ROUNDS = 4
 #: A pattern must be supported by so many different accepted instances and score so much.
 LEAST_SEEDS, LEAST_SCORE = 5, 0.8
 PRIOR = 1.0
+#: One text in so many is gone through to rule patterns out; the last part is all texts.
+PARTS = (64, 8, 1)
+#: Patterns, or instances, that are sent to the workers at once; with more, the texts are gone through several times.
+MOST_SENT = 300_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -224,7 +230,149 @@ def units(texts: list[str], base: list[list[tuple[int, int, int]]]) -> dict[str,
     patterns = np.stack([_mix(np.uint64(11), kind, left), _mix(np.uint64(12), kind, left2, left), _mix(np.uint64(13), kind, left, right), _mix(np.uint64(14), kind, right)])
     good = at[b] > at[a]
     r = row[i]
-    return {"row": r[good], "start": (a - begin[r])[good], "end": (b - begin[r])[good], "seed": seed[good], "instance": instance[good].view(np.int64), "patterns": patterns[:, good].view(np.int64)}
+    ends = np.stack([np.where(there1, np.clip(i - 1, 0, None), -1), np.where(same3, np.clip(j + 1, None, max(0, n - 1)), -1)])
+    return {
+        "row": r[good], "start": (a - begin[r])[good], "end": (b - begin[r])[good], "seed": seed[good], "instance": instance[good].view(np.int64), "patterns": patterns[:, good].view(np.int64),
+        "same": same1[good], "ends": ends[:, good], "words": np.stack([ws, we]), "signs": np.where(_IS_DIGIT[c], 48, low), "bare": low[loose], "at": np.stack([at[a], at[b]])[:, good],
+    }
+
+
+def _text(signs: np.ndarray) -> str:
+    return signs.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def anchors(u: dict[str, np.ndarray], pattern: np.ndarray, unit: np.ndarray) -> list[str]:
+    """What to look for to find a pattern's lines again: S and a word on the line, N and the last word before the line, F: a text's first line, E: every line."""
+    out, cache = [], {}
+    for p, k in zip(pattern.tolist(), unit.tolist(), strict=True):
+        w = int(u["ends"][1 if p == 3 else 0, k])
+        if w < 0:
+            out.append("E" if p == 3 else "F")
+            continue
+        word = cache.get(w)
+        if word is None:
+            word = cache[w] = _text(u["signs"][u["words"][0, w] : u["words"][1, w]])
+        out.append(("S" if p == 3 or u["same"][k] else "N") + word)
+    return out
+
+
+def bare_texts(u: dict[str, np.ndarray], unit: np.ndarray) -> list[str]:
+    """The instances' signs that count."""
+    return [_text(u["bare"][u["at"][0, k] : u["at"][1, k]]) for k in unit.tolist()]
+
+
+_FOLD = bytes(48 if chr(i) in "0123456789" else ord(chr(i).lower()) for i in range(128)) + bytes(range(128, 256))
+_LOW = bytes(ord(chr(i).lower()) for i in range(128)) + bytes(range(128, 256))
+
+
+def _folded(text: str, digits: bool = True) -> bytes:
+    """The text as words are compared: lower case, sign by sign, and all digits alike; in UTF-8."""
+    if text.isascii():
+        return text.encode().translate(_FOLD if digits else _LOW)
+    u = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where(u < 1 << 16, u, 0xFFFF)
+    low = np.where(u < 1 << 16, _LOWER[c], u)
+    return _text(np.where(_IS_DIGIT[c], 48, low) if digits else low).encode("utf-8", "surrogatepass")
+
+
+class Anchors:
+    """Lines that may hold a unit of some patterns. It errs on the side of too many: a line with a fixed span always counts."""
+
+    def __init__(self, wanted: list[str]):
+        by = {k: frozenset(w[1:].encode("utf-8", "surrogatepass") for w in wanted if w[0] == k) for k in "SN"}
+        self.same, self.next = by["S"], by["N"]
+        self.every, self.first = "E" in wanted, "F" in wanted
+
+    def __call__(self, text: str, spans: list[tuple[int, int, int]]) -> list[int] | None:
+        """The numbers of the lines, None for all."""
+        if self.every:
+            return None
+        folded = _folded(text)
+        signs = [k for k in (b":", b"=", b"#") if k in folded]
+
+        def met(words: frozenset[bytes], line: bytes, last: bool = False) -> bool:
+            """A label's sign may end a word."""
+            if not words:
+                return False
+            if not words.isdisjoint(line.split()[-1:] if last else line.split()):
+                return True
+            some = [k for k in signs if k in line]
+            for k in some:
+                line = line.replace(k, k + b" ")
+            return bool(some) and not words.isdisjoint(line.split()[-1:] if last else line.split())
+
+        if not spans and not self.first and not met(self.same | self.next if self.next else self.same, folded):
+            return []
+        cut = [0, *(i + 1 for i, x in enumerate(text) if x == "\n")] if spans else []
+        held = {bisect.bisect_right(cut, a) - 1 for _, a, _ in spans}
+        out, due = [], self.first
+        for k, line in enumerate(folded.split(b"\n")):
+            if line and not line.isspace():
+                if due or k in held or met(self.same, line):
+                    out.append(k)
+                due = k in held and bool(self.next) or met(self.next, line, last=True)
+        return out
+
+
+class Known:
+    """Lines that may hold one of some instances."""
+
+    def __init__(self, wanted: list[str]):
+        import ahocorasick
+
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for w in wanted:
+            self.found.add_word(w)
+        self.found.make_automaton()
+
+    def __call__(self, text: str, spans: list[tuple[int, int, int]]) -> list[int]:
+        bare = _folded(text, digits=False).translate(None, b" \t\v\f\r().-").decode("utf-8", "surrogatepass")
+        at = [i for i, _ in self.found.iter(bare)]
+        if not at:
+            return []
+        cut = [0, *(i + 1 for i, x in enumerate(bare) if x == "\n")]
+        return sorted({bisect.bisect_right(cut, i) - 1 for i in at})
+
+
+def units_of_lines(texts: list[str], base: list[list[tuple[int, int, int]]], lines) -> dict[str, np.ndarray]:
+    """units() of the lines that lines(text, spans) names, each seen after the line with words before it; rows and places are those of the whole texts."""
+    rows, parts, spans, maps = [], [], [], []
+    for r, (text, own) in enumerate(zip(texts, base, strict=True)):
+        got = lines(text, own)
+        if got is None:
+            rows.append(r), parts.append(text), spans.append(own), maps.append(None)
+        elif got:
+            old = text.split("\n")
+            begin = list(itertools.accumulate((len(x) + 1 for x in old), initial=0))
+            take, wanted = [], set(got)
+            for k in got:
+                j = k - 1
+                while j >= 0 and not old[j].strip(" \t\v\f\r"):
+                    j -= 1
+                if j >= 0 and (not take or take[-1] < j):
+                    take.append(j)
+                take.append(k)
+            part = "\n".join(old[k] for k in take)
+            starts = list(itertools.accumulate((len(old[k]) + 1 for k in take), initial=0))[:-1]
+            rows.append(r), parts.append(part), spans.append(base_spans(part))
+            maps.append((np.array(starts), np.array([begin[k] for k in take]), np.array([k in wanted for k in take])))
+    u = units(parts, spans)
+    keep = np.ones(len(u["row"]), bool)
+    heads = np.searchsorted(u["row"], np.arange(len(rows) + 1)) if np.all(u["row"][:-1] <= u["row"][1:]) else None
+    for k, m in enumerate(maps):
+        if m is not None:
+            mine = slice(heads[k], heads[k + 1]) if heads is not None else u["row"] == k
+            line = np.searchsorted(m[0], u["start"][mine], "right") - 1
+            keep[mine] = m[2][line]
+            shift = m[1][line] - m[0][line]
+            u["start"][mine] += shift
+            u["end"][mine] += shift
+    u["row"] = np.array(rows, np.int64)[u["row"]] if rows else u["row"]
+    for k in ("row", "start", "end", "seed", "instance", "same"):
+        u[k] = u[k][keep]
+    for k in ("patterns", "ends", "at"):
+        u[k] = u[k][:, keep]
+    return u
 
 
 def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -234,106 +382,188 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def _units(batch: pa.RecordBatch):
-    texts = [t or "" for t in batch["text"].to_pylist()]
-    base = [base_spans(t) for t in texts]
-    return texts, base, units(texts, base)
+def _with_spans(text: str, spans: list[tuple[int, int, int]]) -> list[int]:
+    cut = [0, *(i + 1 for i, x in enumerate(text) if x == "\n")] if spans else []
+    return sorted({bisect.bisect_right(cut, a) - 1 for _, a, _ in spans})
+
+
+_PAIRS = "pattern long, instance long, anchor string, bare string"
 
 
-def _pairs(t: DataFrame, accepted: np.ndarray | None = None, patterns: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """Pairs (pattern, instance) of accepted instances (None: of the seeds), or all those of patterns; distinct within a slice.
+def _pairs(t: DataFrame, lines, use, most: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """Distinct pairs (pattern, instance), each with the pattern's anchor and the instance's signs.
 
-    patterns are sorted hashes and the greatest number of instances each can have and still be sure; beyond it a null instance stands for all.
+    lines: a maker of the function that names lines, and what it is made from; use(u): a mask of the (pattern, unit) pairs wanted. most: sorted patterns and
+    the greatest number of instances each can have and still be sure; where a slice alone holds more, a null instance stands for all.
     """
-    spark = t.sparkSession
-    known = spark.sparkContext.broadcast((accepted, patterns))
+    sent = t.sparkSession.sparkContext.broadcast((lines, use, most))
+    made: list = []
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        accepted, patterns = known.value
-        _, _, u = _units(batch)
-        if patterns is None:
-            use = u["seed"] if accepted is None else u["seed"] | _among(u["instance"], accepted)
-            p, i = u["patterns"][:, use].ravel(), np.tile(u["instance"][use], 4)
-        else:
-            hit = _among(u["patterns"], patterns[0])
-            p, i = u["patterns"][hit], np.broadcast_to(u["instance"], hit.shape)[hit]
+        lines, use, most = sent.value
+        if not made:
+            made.append(lines[0](*lines[1:]) if isinstance(lines, tuple) else lines)
+        texts = [x or "" for x in batch["text"].to_pylist()]
+        u = units_of_lines(texts, [base_spans(x) for x in texts], made[0])
+        which, unit = np.nonzero(use(u))
+        p, i = u["patterns"][which, unit], u["instance"][unit]
         order = np.lexsort((i, p))
-        p, i = p[order], i[order]
+        p, i, which, unit = p[order], i[order], which[order], unit[order]
         new = np.ones(len(p), bool)
         new[1:] = (p[1:] != p[:-1]) | (i[1:] != i[:-1])
-        p, i = p[new], i[new]
+        p, i, which, unit = p[new], i[new], which[new], unit[new]
         void = np.zeros(len(p), bool)
-        if patterns is not None and len(p):
+        if most is not None and len(p):
             heads, at, many = np.unique(p, return_index=True, return_counts=True)
-            over = many > patterns[1][np.searchsorted(patterns[0], heads)]
+            over = many > most[1][np.searchsorted(most[0], heads)]
             stay = ~np.repeat(over, many)
             stay[at[over]] = True
             void[at[over]] = True
-            p, i, void = p[stay], i[stay], void[stay]
-        return pa.RecordBatch.from_arrays([pa.array(p), pa.array(i, mask=void)], ["pattern", "instance"])
-
-    return map_texts(t, fn, "pattern long, instance long").distinct()
-
-
-def _sorted(df: DataFrame, *columns: str) -> list[np.ndarray]:
-    """Columns of df on the driver, ordered by the first."""
-    got = df.select(*columns).toArrow()
-    cols = [got[c].to_numpy() for c in columns]
-    order = np.argsort(cols[0])
-    return [c[order] for c in cols]
-
-
-def sure_patterns(tables: Tables, t: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """The sorted hashes of the patterns that are sure in the end."""
-    seeds = _pairs(t)
-    scores = accepted = None
-    sure, p_score = np.zeros(0, np.int64), np.zeros(0)
-    for _ in range(rounds):
-        mine = seeds if accepted is None else _pairs(t, accepted)
-        if scores is None:
-            mine = tables.keep(mine.withColumn("score", F.lit(1.0)), "seeds")
-            first = mine.select("instance").distinct().withColumn("score", F.lit(1.0))
-        else:
-            mine = mine.join(scores.select(F.col("instance").alias("i"), "score"), F.col("instance") == F.col("i")).select("pattern", "instance", "score")
-        support = mine.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("score").alias("s")).where((F.col("n") >= LEAST_SEEDS) & (F.col("s") >= LEAST_SCORE * (F.col("n") + PRIOR)))
-        support = tables.keep(support, "support")
-        known, s = _sorted(support, "pattern", "s")
-        if not len(known):
-            break
-        edges = tables.keep(_pairs(t, patterns=(known, np.floor(s / LEAST_SCORE - PRIOR + 1e-9))), "edges")
-        per = edges.groupBy("pattern").agg(F.count("*").alias("all"), F.bool_or(F.col("instance").isNull()).alias("over")).where("not over").select(F.col("pattern").alias("k"), "all")
-        scored = tables.keep(support.join(per, F.col("pattern") == F.col("k")).select("pattern", (F.col("s") / (F.col("all") + PRIOR)).alias("p_score")).where(F.col("p_score") >= LEAST_SCORE), "patterns")
-        before, (sure, p_score) = (sure, p_score), _sorted(scored, "pattern", "p_score")
+            p, i, which, unit, void = p[stay], i[stay], which[stay], unit[stay], void[stay]
+        bare = ["" if v else x for v, x in zip(void.tolist(), bare_texts(u, unit), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(p), pa.array(i, mask=void), pa.array(anchors(u, which, unit), pa.string()), pa.array(bare, pa.string())], ["pattern", "instance", "anchor", "bare"])
+
+    # of a pattern all anchors, and of an instance all signs, are alike
+    return map_texts(t, fn, _PAIRS).groupBy("pattern", "instance").agg(F.min("anchor").alias("anchor"), F.min("bare").alias("bare"))
+
+
+class _Seeds:
+    def __call__(self, u):
+        return np.broadcast_to(u["seed"], u["patterns"].shape)
+
+
+class _OfPatterns:
+    def __init__(self, patterns: np.ndarray):
+        self.patterns = patterns
+
+    def __call__(self, u):
+        return _among(u["patterns"], self.patterns)
+
+
+class _OfInstances:
+    def __init__(self, instances: np.ndarray):
+        self.instances = instances
+
+    def __call__(self, u):
+        return np.broadcast_to(_among(u["instance"], self.instances), u["patterns"].shape)
+
+
+def _chunks(df: DataFrame, key: str, *more: str, most: int | None = None):
+    """Columns of df on the driver, ordered by key, no more than about ``most`` rows at a time."""
+    many = df.count() // (most or MOST_SENT) + 1
+    for k in range(many if many > 1 or not df.isEmpty() else 0):
+        got = df.where(F.pmod(F.xxhash64(key), F.lit(many)) == k).select(key, *more).toArrow()
+        order = np.argsort(got[key].to_numpy())
+        yield got[key].to_numpy()[order], *(got[c].take(pa.array(order)) for c in more)
+
+
+class Bootstrap:
+    """The graph of patterns and instances as it grows; all its tables stay in Spark."""
+
+    def __init__(self, t: DataFrame):
+        self.t, self.tables = t, Tables(t.sparkSession)
+        nothing = t.sparkSession.createDataFrame([], "pattern long, instance long, anchor string, bare string")
+        self.pairs = self.tables.keep(_pairs(t, _with_spans, _Seeds()), "seeds")
+        self.seeds = self.tables.keep(self.pairs.select("instance").distinct().withColumn("score", F.lit(1.0)), "seed-instances")
+        self.edges, self.full = nothing, nothing.select("pattern")
+        self.bounds = nothing.selectExpr("pattern", "cast(null as long) as seen")
+        self.reached = (0, 0.0)  # sure patterns, and the sum of their scores
+        self.scores, self.sure = self.seeds, nothing.selectExpr("pattern", "anchor", "0d as p_score")
+
+    def support(self) -> DataFrame:
+        """Patterns with enough accepted instances, and how many instances each can have and still be sure."""
+        got = self.pairs.join(self.scores.select(F.col("instance").alias("k"), "score"), F.col("instance") == F.col("k"))
+        per = got.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.min("anchor").alias("anchor"))
+        per = per.where((F.col("n") >= LEAST_SEEDS) & (F.col("s") >= LEAST_SCORE * (F.col("n") + PRIOR)))
+        return self.tables.keep(per.withColumn("most", F.floor(F.col("s") / LEAST_SCORE - PRIOR + 1e-9)), "support")
+
+    def enumerate(self, support: DataFrame) -> None:
+        """All instances of the supported patterns that can be sure.
+
+        A pattern of running text is soon seen with more instances than it can have: a part of the texts that shows them
+        is proof enough. So texts are gone through in parts that grow, and only what stands the last, which is all texts, is kept.
+        """
+        todo = support.join(self.full, "pattern", "left_anti").join(self.bounds.groupBy("pattern").agg(F.max("seen").alias("seen")), "pattern", "left")
+        todo = self.tables.keep(todo.where("seen is null or seen <= most").select("pattern", "most", "anchor"), "todo")
+        for share in PARTS:
+            part = self.t if share == 1 else self.t.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+            for known, most, wanted in _chunks(todo, "pattern", "most", "anchor"):
+                lines = Anchors, sorted(set(wanted.to_pylist()))
+                got = self.tables.keep(_pairs(part, lines, _OfPatterns(known), (known, most.to_numpy())), "edges")
+                per = got.groupBy("pattern").agg(F.count("instance").alias("seen"), F.bool_or(F.col("instance").isNull()).alias("over")).join(todo.select("pattern", "most"), "pattern")
+                per = self.tables.keep(per.select("pattern", F.when(F.col("over"), F.greatest(F.col("seen"), F.col("most") + 1)).otherwise(F.col("seen")).alias("seen"), "most"), "counts")
+                self.bounds = self.bounds.union(per.where("seen > most").select("pattern", "seen"))
+                if share == 1:
+                    self.full = self.full.union(per.where("seen <= most").select("pattern"))
+                    self.edges = self.edges.union(got.join(per.where("seen <= most").select("pattern"), "pattern").select(*self.edges.columns))
+            if todo.isEmpty():
+                return
+            todo = self.tables.keep(todo.join(self.bounds.groupBy("pattern").agg(F.max("seen").alias("seen")), "pattern", "left").where("seen is null or seen <= most").select("pattern", "most", "anchor"), "todo")
+
+    def round(self) -> bool:
+        """One round; false if nothing came of it."""
+        support = self.support()
+        self.enumerate(support)
+        per = self.edges.groupBy("pattern").agg(F.count("*").alias("all"))
+        sure = support.join(per, "pattern").select("pattern", "anchor", (F.col("s") / (F.col("all") + PRIOR)).alias("p_score")).where(F.col("p_score") >= LEAST_SCORE)
+        self.sure = self.tables.keep(sure, "sure")
         # sure if any of its patterns is: one less the chance that all are wrong
-        lent = edges.join(scored.select(F.col("pattern").alias("k"), F.least("p_score", F.lit(0.999)).alias("p_score")), F.col("pattern") == F.col("k"))
-        lent = lent.groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("p_score"))))).alias("score"))
-        scores = tables.keep(first.union(lent).groupBy("instance").agg(F.max("score").alias("score")), "scores")
-        old = accepted
-        (accepted,) = _sorted(scores, "instance")
-        if old is not None and np.array_equal(old, accepted) and np.array_equal(before[0], sure) and np.allclose(before[1], p_score, atol=1e-6):
+        lent = self.edges.join(self.sure.select("pattern", F.least("p_score", F.lit(0.999)).alias("p_score")), "pattern").join(self.seeds.select("instance"), "instance", "left_anti")
+        lent = lent.groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("p_score"))))).alias("score"), F.min("bare").alias("bare"))
+        lent = self.tables.keep(lent, "lent")
+        new = self.tables.keep(lent.join(self.scores, "instance", "left_anti").select("instance", "bare"), "new")
+        self.scores = self.seeds.union(lent.select("instance", "score"))
+        before, self.reached = self.reached, tuple(self.sure.agg(F.count("*"), F.coalesce(F.sum("p_score"), F.lit(0.0))).first())
+        if new.isEmpty():
+            return before[0] != self.reached[0] or abs(before[1] - self.reached[1]) > 1e-6
+        for known, bare in _chunks(new, "instance", "bare"):
+            lines = Known, bare.to_pylist()
+            self.pairs = self.pairs.union(self.tables.keep(_pairs(self.t, lines, _OfInstances(known)), "pairs"))
+        return True
+
+
+def sure_patterns(t: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """pattern, anchor and p_score of the patterns that are sure in the end."""
+    graph = Bootstrap(t)
+    for _ in range(rounds):
+        if not graph.round():
             break
-    return sure
+    return graph.sure
 
 
-def extract(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of df: doc_id, counts of the base kinds, base_sha256, spans, n_context."""
+def extract(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """One row for each row of df: doc_id, counts of the base kinds, base_sha256, spans, n_context, has_private (any span)."""
     t = pick(df, doc_id=id_col, text=text_col)
-    sure = df.sparkSession.sparkContext.broadcast(sure_patterns(Tables(df.sparkSession), t))
+    kind = t.schema["doc_id"].dataType.simpleString()
+    found = t.withColumn("context", F.expr("cast(array() as array<bigint>)"))
+    # beyond MOST_SENT patterns the texts are gone through again for the rest
+    for known, wanted in _chunks(sure_patterns(t.select("text"), rounds), "pattern", "anchor"):
+        sent = df.sparkSession.sparkContext.broadcast((known, sorted(set(wanted.to_pylist()))))
+
+        def look(batch: pa.RecordBatch, sent=sent, made=[]) -> pa.RecordBatch:  # noqa: B006
+            if not made:
+                made.append(Anchors(sent.value[1]))
+            texts = [x or "" for x in batch["text"].to_pylist()]
+            u = units_of_lines(texts, [base_spans(x) for x in texts], made[0])
+            hit = ~u["seed"] & _among(u["patterns"], sent.value[0]).any(axis=0)
+            out = batch["context"].to_pylist()
+            for r, a, b in zip(u["row"][hit].tolist(), u["start"][hit].tolist(), u["end"][hit].tolist(), strict=True):
+                out[r] += [a, b]
+            return batch.set_column(2, "context", pa.array(out, pa.list_(pa.int64())))
+
+        found = map_texts(found, look, found.schema)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, base, u = _units(batch)
-        hit = ~u["seed"] & _among(u["patterns"], sure.value).any(axis=0)
-        extra: list[list] = [[] for _ in base]
-        for r, a, b in sorted(zip(u["row"][hit].tolist(), u["start"][hit].tolist(), u["end"][hit].tolist(), strict=True)):
-            extra[r].append((4, a, b))
+        base = [base_spans(x or "") for x in batch["text"].to_pylist()]
+        extra = [sorted({(4, a, b) for a, b in zip(x[::2], x[1::2], strict=True)}) for x in batch["context"].to_pylist()]
         text = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
         counts = [pa.array([sum(s[0] == k for s in spans) for spans in base], pa.int64()) for k in range(4)]
-        sha = pa.array([hashlib.sha256(text(spans).encode()).hexdigest() for spans in base])
-        spans = pa.array([text([*x, *y]) for x, y in zip(base, extra, strict=True)])
-        return pa.RecordBatch.from_arrays([batch["doc_id"], *counts, sha, spans, pa.array([len(x) for x in extra], pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans", "n_context"])
+        sha = pa.array([hashlib.sha256(text(spans).encode()).hexdigest() for spans in base], pa.string())
+        spans = pa.array([text([*x, *y]) for x, y in zip(base, extra, strict=True)], pa.string())
+        some = pa.array([bool(x or y) for x, y in zip(base, extra, strict=True)], pa.bool_())
+        return pa.RecordBatch.from_arrays([batch["doc_id"], *counts, sha, spans, pa.array([len(x) for x in extra], pa.int64()), some], ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans", "n_context", "has_private"])
 
-    kind = t.schema["doc_id"].dataType.simpleString()
-    return map_texts(t, fn, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS[:4]) + ", base_sha256 string, spans string, n_context long")
+    return map_texts(found, fn, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS[:4]) + ", base_sha256 string, spans string, n_context long, has_private boolean")
 
 
 def op5_pii_bootstrap(spark, sf_dir: str) -> DataFrame:
