@@ -18,6 +18,7 @@ import hashlib
 import itertools
 import json
 import re
+import struct
 import unicodedata
 from array import array
 from dataclasses import dataclass
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame
 from .common import map_texts, pick
 
 VOCABULARY = "word_bpe_49k.json"
-#: Bytes of pieces and ids, about, that a worker remembers before it starts anew; what an entry costs besides; longer pieces are not remembered.
-MEMORY_BYTES, ENTRY_BYTES, LONG_PIECE = 48 << 20, 300, 64
+#: Bytes of pieces and ids, about, that a worker remembers in all; what an entry costs besides.
+MEMORY_BYTES, ENTRY_BYTES = 64 << 20, 300
 #: Pairs of tokens whose compatibility a worker remembers before it starts anew.
 PAIRS = 200_000
 _END = 256
@@ -166,6 +167,31 @@ def tables(path: str) -> Tables:
     return Tables([by_id.get(i, "") for i in range(size)], special, frame, np.fromiter(auto.to, np.int64, len(auto.to)), ints(list(auto.to.values())), ints(auto.length), ints(auto.link), ints(auto.token), ints(auto.up), np.array(pairs, np.int64), parts, rank)
 
 
+class Memory(dict):
+    """What pieces were found to be, in two halves: when the young one is full the old one goes, so that what is met often stays."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find, self.old, self.held = find, {}, 0
+
+    def put(self, piece: str, got: tuple[bytes, str]) -> None:
+        self.held += ENTRY_BYTES + len(piece) + 5 * len(got[0]) // 2
+        if self.held > MEMORY_BYTES // 2:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self[piece] = got
+
+    def renew(self, pieces: set[str]) -> None:
+        """Those of the old half that are met again go to the young one."""
+        old = self.old
+        for piece in pieces.difference(self).intersection(old):
+            self.put(piece, old[piece])
+
+    def __missing__(self, piece: str) -> tuple[bytes, str]:
+        """A half was full in between."""
+        return self.old.get(piece) or self.find(piece)
+
+
 class WordBpe:
     """Encoder and decoder."""
 
@@ -191,9 +217,7 @@ class WordBpe:
         width[t.token[ends]] = t.length[ends]
         self.width = flat(width)
         self.agree: dict[int, bool] = {}
-        self.memory: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
-        self.held = 0
+        self.memory = Memory(self.piece)
 
     def _edge(self, token: int, side: array) -> list[tuple[int, int]]:
         """A token's outermost part on a side and the rank at which that part is merged away, from the whole token inwards."""
@@ -229,12 +253,11 @@ class WordBpe:
         got = self.endings[state] = tuple(out)
         return got
 
-    def encode_piece(self, symbols: list[int]) -> list[int]:
-        """Ids of a piece: the last token of each prefix, then back along the pointers."""
+    def _extend(self, symbols, states: list[int], matches: list[int], last: list[int]) -> None:
+        """Of prefixes that grow by symbols: the automaton's state, the matched length and the last token."""
         go, length, link, endings, agree = self.to.get, self.length, self.link, self.endings.get, self.agree
         fit = agree.get
-        last, at = [-1], 0
-        state = matched = 0
+        state, matched, at = states[-1], matches[-1], len(last) - 1
         for symbol in symbols:
             at += 1
             to = go(state << 9 | symbol)
@@ -263,35 +286,33 @@ class WordBpe:
                         if fits:
                             found = token
                             break
+            states.append(state)
+            matches.append(matched)
             last.append(found)
-        ids = []
-        while at:
-            ids.append(last[at])
-            at -= self.width[last[at]]
-        return ids[::-1]
+
+    def learn(self, pieces) -> None:
+        """Encode pieces and remember them. In sorted order a piece goes on from the prefix it shares with the one before."""
+        names, width, memory = self.names, self.width, self.memory
+        states, matches, last, before = [0], [0], [-1], b""
+        for piece in sorted(pieces):
+            raw = piece.encode()
+            n, shared = len(raw) - 1, 0  # the last symbol is another one, as it ends the piece
+            most = min(n, len(before) - 1)
+            while shared < most and raw[shared] == before[shared]:
+                shared += 1
+            del states[shared + 1 :], matches[shared + 1 :], last[shared + 1 :]
+            self._extend((*raw[shared:n], raw[n] + _END), states, matches, last)
+            before, ids, at = raw, [], n + 1
+            while at:  # back along the pointers
+                ids.append(last[at])
+                at -= width[last[at]]
+            ids.reverse()
+            memory.put(piece, (struct.pack(f"<{len(ids)}I", *ids), "".join([" " + names[i] for i in ids])))
 
     def piece(self, piece: str) -> tuple[bytes, str]:
         """Of a piece: its ids in 4 bytes each, and its decoded tokens, each after a blank."""
-        symbols = list(piece.encode())
-        symbols[-1] += _END
-        ids = self.encode_piece(symbols)
-        got = np.array(ids, "<u4").tobytes(), "".join([" " + self.names[i] for i in ids])
-        if len(piece) <= LONG_PIECE:
-            self._remember(piece, got)
-        return got
-
-    def _remember(self, piece: str, got: tuple[bytes, str]) -> None:
-        """In two halves: when the young one is full the old one goes, so that what is met often stays."""
-        self.held += ENTRY_BYTES + len(piece) + 5 * len(got[0]) // 2
-        if self.held > MEMORY_BYTES // 2:
-            self.old, self.memory, self.held = self.memory, {}, 0
-        self.memory[piece] = got
-
-    def _again(self, piece: str) -> tuple[bytes, str] | None:
-        got = self.old.get(piece)
-        if got:
-            self._remember(piece, got)
-        return got
+        self.learn([piece])
+        return self.memory.pop(piece)
 
     def pieces(self, text: str) -> list[str]:
         """The normalised text's pieces: letters, digits one by one, or other signs."""
@@ -302,17 +323,36 @@ class WordBpe:
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids of a text in 4 bytes each, and the decoded text."""
-        ids, words = [], []
-        for part in self.special_cut.split(text) if self.special_cut else [text]:
-            if part in self.special:
-                ids.append(np.array([self.special[part]], "<u4").tobytes())
-                words.append(" " + part)
-            elif part:
-                for piece in self.pieces(part):
-                    got = self.memory.get(piece) or self._again(piece) or self.piece(piece)
-                    ids.append(got[0])
-                    words.append(got[1])
-        return b"".join(ids), "".join(words)[1:]
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """encode() of each; pieces that are new are learnt together."""
+        memory, parts = self.memory, []
+        new: set[str] = set()
+        for text in texts:
+            mine = []
+            for part in self.special_cut.split(text) if self.special_cut else [text]:
+                if part in self.special:
+                    mine.append(part)
+                elif part:
+                    mine.append(self.pieces(part))
+                    new.update(mine[-1])
+            parts.append(mine)
+        memory.renew(new)
+        self.learn(new.difference(memory))
+        out = []
+        for mine in parts:
+            ids, words = [], []
+            for part in mine:
+                if isinstance(part, str):
+                    ids.append(struct.pack("<I", self.special[part]))
+                    words.append(" " + part)
+                else:
+                    got = [memory[piece] for piece in part]
+                    ids += [a for a, _ in got]
+                    words += [b for _, b in got]
+            out.append((b"".join(ids), "".join(words)[1:]))
+        return out
 
     def decode(self, ids: bytes) -> str:
         return " ".join(self.names[i] for i in np.frombuffer(ids, "<u4").tolist())
@@ -345,8 +385,7 @@ def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = encoder(*known.value)
         ids, n, sha, out = [], [], [], []
-        for text in batch["text"].to_pylist():
-            got, decoded = bpe.encode(text or "")
+        for got, decoded in bpe.encode_all([x or "" for x in batch["text"].to_pylist()]):
             if with_ids:
                 ids.append(got)
             n.append(len(got) // 4)
