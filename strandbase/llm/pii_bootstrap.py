@@ -233,7 +233,7 @@ def units(texts: list[str], base: list[list[tuple[int, int, int]]]) -> dict[str,
     ends = np.stack([np.where(there1, np.clip(i - 1, 0, None), -1), np.where(same3, np.clip(j + 1, None, max(0, n - 1)), -1)])
     return {
         "row": r[good], "start": (a - begin[r])[good], "end": (b - begin[r])[good], "seed": seed[good], "instance": instance[good].view(np.int64), "patterns": patterns[:, good].view(np.int64),
-        "same": same1[good], "ends": ends[:, good], "words": np.stack([ws, we]), "signs": np.where(_IS_DIGIT[c], 48, low), "bare": low[loose], "at": np.stack([at[a], at[b]])[:, good],
+        "same": same1[good], "digits": kind[good] > 0, "ends": ends[:, good], "words": np.stack([ws, we]), "signs": np.where(_IS_DIGIT[c], 48, low), "bare": low[loose], "at": np.stack([at[a], at[b]])[:, good],
     }
 
 
@@ -242,17 +242,19 @@ def _text(signs: np.ndarray) -> str:
 
 
 def anchors(u: dict[str, np.ndarray], pattern: np.ndarray, unit: np.ndarray) -> list[str]:
-    """What to look for to find a pattern's lines again: S and a word on the line, N and the last word before the line, F: a text's first line, E: every line."""
+    """What to look for to find a pattern's lines again: 0 or 1 for units without or with digits, then S and a word on the line,
+    N and the last word before the line, F: a text's first line, or E: every line."""
     out, cache = [], {}
     for p, k in zip(pattern.tolist(), unit.tolist(), strict=True):
+        kind = "1" if u["digits"][k] else "0"
         w = int(u["ends"][1 if p == 3 else 0, k])
         if w < 0:
-            out.append("E" if p == 3 else "F")
+            out.append(kind + ("E" if p == 3 else "F"))
             continue
         word = cache.get(w)
         if word is None:
             word = cache[w] = _text(u["signs"][u["words"][0, w] : u["words"][1, w]])
-        out.append(("S" if p == 3 or u["same"][k] else "N") + word)
+        out.append(kind + ("S" if p == 3 or u["same"][k] else "N") + word)
     return out
 
 
@@ -275,44 +277,55 @@ def _folded(text: str, digits: bool = True) -> bytes:
     return _text(np.where(_IS_DIGIT[c], 48, low) if digits else low).encode("utf-8", "surrogatepass")
 
 
+def _ends_in(words: frozenset[bytes], line: bytes, last: bool = False) -> bool:
+    """Whether one of words is among the line's (or is its last one); a label's sign may end a word."""
+    if not words:
+        return False
+    if not words.isdisjoint(line.split()[-1:] if last else line.split()):
+        return True
+    some = [k for k in (b":", b"=", b"#") if k in line]
+    for k in some:
+        line = line.replace(k, k + b" ")
+    return bool(some) and not words.isdisjoint(line.split()[-1:] if last else line.split())
+
+
 class Anchors:
     """Lines that may hold a unit of some patterns. It errs on the side of too many: a line with a fixed span always counts."""
 
     def __init__(self, wanted: list[str]):
-        by = {k: frozenset(w[1:].encode("utf-8", "surrogatepass") for w in wanted if w[0] == k) for k in "SN"}
-        self.same, self.next = by["S"], by["N"]
-        self.every, self.first = "E" in wanted, "F" in wanted
+        of = lambda k: frozenset(w[2:].encode("utf-8", "surrogatepass") for w in wanted if w.startswith(k))
+        # of units without digits and with digits
+        self.same, self.next = [of("0S"), of("1S")], [of("0N"), of("1N")]
+        self.every, self.first = ["0E" in wanted, "1E" in wanted], ["0F" in wanted, "1F" in wanted]
+        self.plain = bool(self.same[0] or self.next[0] or self.every[0] or self.first[0])
 
     def __call__(self, text: str, spans: list[tuple[int, int, int]]) -> list[int] | None:
         """The numbers of the lines, None for all."""
-        if self.every:
+        if self.every[0]:
             return None
+        digits = _DIGIT.search(text) is not None
+        if not (digits or spans or self.plain):
+            return []
         folded = _folded(text)
-        signs = [k for k in (b":", b"=", b"#") if k in folded]
-
-        def met(words: frozenset[bytes], line: bytes, last: bool = False) -> bool:
-            """A label's sign may end a word."""
-            if not words:
-                return False
-            if not words.isdisjoint(line.split()[-1:] if last else line.split()):
-                return True
-            some = [k for k in signs if k in line]
-            for k in some:
-                line = line.replace(k, k + b" ")
-            return bool(some) and not words.isdisjoint(line.split()[-1:] if last else line.split())
-
-        if not spans and not self.first and not met(self.same | self.next if self.next else self.same, folded):
+        if not (digits or spans or self.first[0] or _ends_in(self.same[0] | self.next[0], folded)):
             return []
-        cut = [0, *(i + 1 for i, x in enumerate(text) if x == "\n")] if spans else []
-        held = {bisect.bisect_right(cut, a) - 1 for _, a, _ in spans}
-        out, due = [], self.first
+        held = set(_with_spans(text, spans))
+        out, before = [], None  # the last line with words
         for k, line in enumerate(folded.split(b"\n")):
             if line and not line.isspace():
-                if due or k in held or met(self.same, line):
+                if k in held or self._meets(line, before, 1 if b"0" in line else 0, k - 1 in held or (before is not None and before[1] in held)):
                     out.append(k)
-                due = k in held and bool(self.next) or met(self.next, line, last=True)
+                before = line, k
         return out
 
+    def _meets(self, line: bytes, before: tuple[bytes, int] | None, most: int, span_before: bool) -> bool:
+        for kind in range(0 if self.plain else 1, most + 1):
+            if self.every[kind] or _ends_in(self.same[kind], line) or (before is None and self.first[kind]):
+                return True
+            if before is not None and self.next[kind] and (span_before or _ends_in(self.next[kind], before[0], last=True)):
+                return True
+        return False
+
 
 class Known:
     """Lines that may hold one of some instances."""
@@ -320,18 +333,25 @@ class Known:
     def __init__(self, wanted: list[str]):
         import ahocorasick
 
-        self.found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for w in wanted:
-            self.found.add_word(w)
-        self.found.make_automaton()
+        self.found = []
+        for some in ([w for w in wanted if not _DIGIT.search(w)], [w for w in wanted if _DIGIT.search(w)]):
+            self.found.append(ahocorasick.Automaton(ahocorasick.STORE_LENGTH) if some else None)
+            for w in some:
+                self.found[-1].add_word(w)
+            if some:
+                self.found[-1].make_automaton()
 
     def __call__(self, text: str, spans: list[tuple[int, int, int]]) -> list[int]:
-        bare = _folded(text, digits=False).translate(None, b" \t\v\f\r().-").decode("utf-8", "surrogatepass")
-        at = [i for i, _ in self.found.iter(bare)]
-        if not at:
+        if self.found[0] is None and not _DIGIT.search(text):
             return []
-        cut = [0, *(i + 1 for i, x in enumerate(bare) if x == "\n")]
-        return sorted({bisect.bisect_right(cut, i) - 1 for i in at})
+        out = []
+        for k, line in enumerate(text.split("\n")):
+            automata = [a for a in (self.found if _DIGIT.search(line) else self.found[:1]) if a is not None]
+            if line and automata:
+                bare = _folded(line, digits=False).translate(None, b" \t\v\f\r().-").decode("utf-8", "surrogatepass")
+                if any(next(a.iter(bare), None) is not None for a in automata):
+                    out.append(k)
+        return out
 
 
 def units_of_lines(texts: list[str], base: list[list[tuple[int, int, int]]], lines) -> dict[str, np.ndarray]:
@@ -368,7 +388,7 @@ def units_of_lines(texts: list[str], base: list[list[tuple[int, int, int]]], lin
             u["start"][mine] += shift
             u["end"][mine] += shift
     u["row"] = np.array(rows, np.int64)[u["row"]] if rows else u["row"]
-    for k in ("row", "start", "end", "seed", "instance", "same"):
+    for k in ("row", "start", "end", "seed", "instance", "same", "digits"):
         u[k] = u[k][keep]
     for k in ("patterns", "ends", "at"):
         u[k] = u[k][:, keep]
