@@ -1,37 +1,49 @@
 """Quality classifier by co-training: text content and page metadata teach each other, then score every document together.
 
-Two logistic models see different views of a document: its content (counts of byte classes, words, lines, repetition) and its metadata
-(source, language, length as recorded). Each round, each model labels the pool documents it is surest of, and the other
-learns them too. Both views are then calibrated on held-out labelled rows, and a last logistic model of the two calibrated
-scores gives the probability of good quality for all documents.
-
-Bounds: the models are fitted on the driver on at most LABELLED_ROWS labelled and POOL_ROWS unlabelled rows, those whose ids have the least
-hashes. Scoring covers every row and whole texts.
-
-Defined results: a document without words (null or empty) has score 0 and is rejected; labels that contradict each other for one id
-count as their mean, a tie as bad; null metadata are a value of their own; without labels of both classes every
-document with words scores 1; repeated rows give repeated results; an empty table gives an empty result.
+Two logistic models see different views of a document: its content (counts of byte classes, words, lines and repetition, hashed words and byte
+trigrams) and its metadata (source, language, length as recorded). Each round, each view labels all unlabelled documents it is sure
+of, beyond logits at which its curve and the held-out labelled rows themselves bear that out (SURE); the other learns them besides the labelled ones, both classes with the
+same share of its labelled rows' weight. In the end both views are calibrated on the held-out rows (a logistic curve of the logit), and a last logistic model of the two calibrated logits gives the probability of good quality.
+
+Texts are read once for the features, which are kept as a narrow table, and once for the scores. Every fit is Newton's method on sums over that table
+(gradients and Hessians of labelled and pseudo-labelled rows), added up in Spark; all labelled and all unlabelled rows take part. For the
+calibration the held-out rows are counted in a grid of both logits. What the driver gets has the size of the models.
+
+Defined results: a document without words (null or empty) has score 0 and is rejected, and takes no part in the fit; labels that contradict each other for one
+id count as their mean, a tie as bad; a label counts for every row of its id; null ids have no label; null metadata are a value of their own; without labels
+of both classes every document with words scores 1; repeated rows give repeated results and count as often in the fit; an empty table gives an empty result. Sums of
+floating-point numbers depend on their order, so weights may differ between runs in the last digits.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, pick, text_bytes
+from .common import Tables, map_texts, pick, release_memory, settled, text_bytes
 from .shingles import shingle_sets, words_of_texts
 
-LABELLED_ROWS = 20_000
-POOL_ROWS = 20_000
-ROUNDS = 5
-#: Pseudo-labels of each class that a view may give in a round, and how sure it must be.
-TAKE, SURE = 500, 0.97
+ROUNDS = 3
+#: Newton steps of the first fit, and of those that go on from the round before.
+FIRST_STEPS, STEPS = 6, 3
+#: How sure a view must be to label a document for the other.
+SURE = 0.97
+RIDGE = 1.0
+#: A row's part in the Hessian is this at least, so that no step goes too far where all rows are sure.
+LEAST_CURVE = 0.02
 KEEP_FROM = 0.5
+#: Cells of hashed words and of hashed byte trigrams.
+WORD_CELLS, GRAM_CELLS = 96, 64
+#: One labelled row in so many is held out to calibrate; cells of a logit, and its bounds, in the grid.
+HELD, GRID, BOUND = 5, 80, 10.0
+#: Rows that the sums of all tasks are added up to before the driver gets them.
+SUMS = 8
 
 _KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n", b".", b",;:", b"!", b"?", b"|<>", b"#*$%&", b"\"'()", b"=_@~^+/\\{}[]-"]
 _KIND = np.full(256, len(_KINDS), np.int64)
@@ -39,13 +51,15 @@ for _i, _k in enumerate(_KINDS):
     _KIND[list(_k)] = _i
 _KIND[128:] = len(_KINDS) + 1
 N_KINDS = len(_KINDS) + 2
-N_CONTENT = N_KINDS + 7
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+N_CONTENT = N_KINDS + 7 + WORD_CELLS + GRAM_CELLS
 N_SOURCES, N_LANGS = 64, 16
 N_META = N_SOURCES + N_LANGS + 3
 
 
 def content_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, N_CONTENT) features of texts, and their numbers of words."""
+    """(rows, N_CONTENT) features of texts, as exact as 16 bits, and their numbers of words."""
     u8, off = text_bytes(column)
     n, size = len(off) - 1, np.diff(off)
     row = np.repeat(np.arange(n), size)
@@ -63,7 +77,16 @@ def content_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     runs = np.zeros(len(u8), bool)  # a sign repeated at once
     runs[1:] = (u8[1:] == u8[:-1]) & (_KIND[u8[1:]] >= 5) & (_KIND[u8[1:]] < len(_KINDS)) & (row[1:] == row[:-1])
     more = [np.log1p(n_words), size / w, distinct / w, trigrams / np.maximum(n_words - 2, 1), stops / np.maximum(counts[:, 4], 1), np.bincount(row[runs], minlength=n) / w, counts[:, 1] / np.maximum(counts[:, 0] + counts[:, 1], 1)]
-    return np.column_stack([np.sqrt(counts / some[:, None]), *more]), n_words
+    # each word and trigram adds one to a cell, or takes one away
+    at = np.repeat(np.arange(n), n_words) * WORD_CELLS + (words >> np.uint64(8)).astype(np.int64) % WORD_CELLS
+    hashed = np.bincount(at, 1.0 - 2.0 * (words & np.uint64(1)), n * WORD_CELLS).reshape(n, WORD_CELLS) / np.sqrt(w)[:, None]
+    lower = _LOWER[u8].astype(np.uint32)
+    gram = (lower[:-2] << 16 | lower[1:-1] << 8 | lower[2:]) * np.uint32(2654435761) if len(u8) > 2 else np.zeros(0, np.uint32)
+    whole = row[: len(gram)] == row[2:] if len(u8) > 2 else np.zeros(0, bool)
+    at = row[: len(gram)] * GRAM_CELLS + (gram >> np.uint32(12)) % GRAM_CELLS
+    grams = np.bincount(at[whole], (1.0 - 2.0 * (gram >> np.uint32(31)))[whole], n * GRAM_CELLS).reshape(n, GRAM_CELLS) / np.sqrt(some)[:, None]
+    x = np.column_stack([np.sqrt(counts / some[:, None]), *more, hashed, grams])
+    return x.astype(np.float16).astype(np.float64), n_words
 
 
 def meta_features(source: list, lang: list, n_chars: np.ndarray) -> np.ndarray:
@@ -78,78 +101,62 @@ def meta_features(source: list, lang: list, n_chars: np.ndarray) -> np.ndarray:
     return x
 
 
+def solved(gradient: np.ndarray, hessian: np.ndarray, w: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Weights after a Newton step; the last one, the constant, is hardly held."""
+    penalty = np.full(len(w), ridge)
+    penalty[-1] = 1e-3
+    return w + np.linalg.solve(hessian + np.diag(penalty), gradient - penalty * w)
+
+
+def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, steps: int = 30) -> np.ndarray:
+    """A small logistic fit of weighted rows at once: weights, the constant last."""
+    z, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        new = solved(z.T @ (weight * (y - p)), (z * (weight * p * (1 - p))[:, None]).T @ z, w, ridge)
+        done, w = np.abs(new - w).max() < 1e-9, new
+        if done:
+            break
+    return w
+
+
 @dataclass
-class Logistic:
+class View:
+    """A logistic model of standardised features, and its calibration: slope and constant for its logit."""
+
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
+    curve: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0]))
+    #: Below the first logit it is sure of bad quality, above the second of good.
+    cuts: tuple[float, float] = (-np.inf, np.inf)
 
-    @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> Logistic:
-        mean, scale = x.mean(axis=0), x.std(axis=0)
-        scale = np.where(scale < 1e-9, 1.0, scale)
-        z = np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(x))])
-        penalty = np.full(z.shape[1], ridge)
-        penalty[-1] = 1e-3
-        w = np.zeros(z.shape[1])
-        for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
-            w += step
-            if np.abs(step).max() < 1e-6:
-                break
-        return Logistic(mean, scale, w)
+    def rows(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones(len(x))])
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return np.clip(z @ self.weights[:-1] + self.weights[-1], -30, 30)
+        return np.clip(self.rows(x) @ self.weights, -30, 30)
+
+    def calibrated(self, logit: np.ndarray) -> np.ndarray:
+        return np.clip(self.curve[0] * logit + self.curve[1], -30, 30)
 
 
 @dataclass
 class CoTrained:
-    content: Logistic
-    meta: Logistic
-    both: Logistic
-    exchanged: int
-
-    def views(self, content: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        return np.column_stack([self.content.logit(content), self.meta.logit(meta)])
+    views: list[View]
+    both: np.ndarray = field(default_factory=lambda: np.array([0.5, 0.5, 0.0]))
+    #: Documents that the content view and the metadata view labelled in the last round, bad and good.
+    exchanged: list[list[float]] = field(default_factory=list)
 
     def score(self, content: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-self.both.logit(self.views(content, meta))))
+        a, b = (v.calibrated(v.logit(x)) for v, x in zip(self.views, (content, meta), strict=True))
+        return 1 / (1 + np.exp(-np.clip(self.both[0] * a + self.both[1] * b + self.both[2], -30, 30)))
 
-
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray]) -> CoTrained | None:
-    """views, pool: content and metadata features of labelled and unlabelled rows. A fifth of the labelled rows is held out to calibrate."""
-    if len(set(y.tolist())) < 2:
-        return None
-    held = np.arange(len(y)) % 5 == 4
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held[:] = False
-    train = [[v[~held], y[~held]] for v in views]
-    free, exchanged = np.ones(len(pool[0]), bool), 0
-    models = [Logistic.fit(*t) for t in train]
-    for _ in range(ROUNDS):
-        gained = 0
-        for k in (0, 1):
-            at = np.flatnonzero(free)
-            score = models[k].logit(pool[k][at])
-            sure = np.log(SURE / (1 - SURE))
-            for label in (0, 1):
-                order = np.argsort(score if label == 0 else -score, kind="stable")[:TAKE]
-                take = at[order][(score[order] < -sure) if label == 0 else (score[order] > sure)]
-                other = train[1 - k]
-                other[0] = np.concatenate([other[0], pool[1 - k][take]])
-                other[1] = np.concatenate([other[1], np.full(len(take), float(label))])
-                free[take] = False
-                gained += len(take)
-        exchanged += gained
-        if not gained:
-            break
-        models = [Logistic.fit(*t) for t in train]
-    rows = held if held.any() else ~held
-    both = Logistic.fit(np.column_stack([m.logit(v[rows]) for m, v in zip(models, views, strict=True)]), y[rows], ridge=0.1)
-    return CoTrained(models[0], models[1], both, exchanged)
+    def calibrate(self, logits: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        """logits: (rows, 2) of held-out rows."""
+        for k, v in enumerate(self.views):
+            v.curve = fitted(logits[:, k : k + 1], y, weight)
+        self.both = fitted(np.column_stack([v.calibrated(logits[:, k]) for k, v in enumerate(self.views)]), y, weight)
 
 
 def _picked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -167,31 +174,173 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return content, meta_features(batch["source"].to_pylist(), batch["lang"].to_pylist(), chars), n_words
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, id_col: str = "doc_id", text_col: str = "text") -> CoTrained | None:
-    """The models, from docs and labels (doc_id, quality)."""
-    t = _picked(docs, id_col, text_col).withColumn("h", F.xxhash64("doc_id"))
-    known = pick(labels, label_id="doc_id", quality="quality").where("label_id is not null and quality is not null").groupBy("label_id").agg((F.avg("quality") > 0.5).cast("double").alias("y"))
-    known = known.withColumn("lh", F.xxhash64("label_id")).orderBy("lh", "label_id").limit(labelled_rows)
-    ends = known.agg(F.max("lh")).first()[0], t.select("h").orderBy("h").limit(labelled_rows + pool_rows).agg(F.max("h")).first()[0]
-    if ends[0] is None or ends[1] is None:
-        return None
+def features(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs with words: content (16-bit numbers), source, lang, n_chars, y (null: no label) and held."""
+    t = _picked(docs, id_col, text_col)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        content, meta, n_words = _arrays(batch)
-        x = np.column_stack([content, meta, n_words])
-        packed = pa.array([r.tobytes() for r in x.astype(np.float64)], pa.binary())
-        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], packed], ["doc_id", "h", "x"])
-
-    some = t.where(F.col("h") <= max(ends))
-    rows = map_texts(some, fn, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, h long, x binary")
-    rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("label_id"), "left").where((F.col("h") <= ends[1]) | F.col("y").isNotNull())
-    got = rows.select(F.col("y").isNull().alias("free"), "y", "h", "doc_id", "x").orderBy("free", "h", "doc_id").limit(labelled_rows + pool_rows).select("y", "x").toArrow()
-    if not len(got):
+        content, n_words = content_features(batch["text"])
+        packed = pa.array([r.tobytes() for r in content.astype(np.float16)], pa.binary())
+        return pa.RecordBatch.from_arrays([batch["doc_id"], packed, batch["source"], batch["lang"], batch["n_chars"]], ["doc_id", "content", "source", "lang", "n_chars"]).filter(pa.array(n_words > 0))
+
+    rows = map_texts(t, fn, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, content binary, source string, lang string, n_chars double")
+    known = pick(labels, label_id="doc_id", quality="quality").where("label_id is not null and quality is not null").groupBy("label_id").agg((F.avg("quality") > 0.5).cast("double").alias("y"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0
+    return rows.join(known, F.col("doc_id") == F.col("label_id"), "left").select("content", "source", "lang", "n_chars", "y", (held & F.col("y").isNotNull()).alias("held"))
+
+
+def _views(batch: pa.RecordBatch) -> list[np.ndarray]:
+    content = np.frombuffer(b"".join(batch["content"].to_pylist()), np.float16).astype(np.float64).reshape(batch.num_rows, N_CONTENT)
+    chars = np.array([np.nan if v is None else v for v in batch["n_chars"].to_pylist()], float)
+    return [content, meta_features(batch["source"].to_pylist(), batch["lang"].to_pylist(), chars)]
+
+
+def _summed(rows: DataFrame, size: int, of) -> np.ndarray:
+    """The sum over all rows of of(views, y, held), an array of size numbers; added up in tasks, then in SUMS groups, then here."""
+
+    def run(batches):
+        def sums():
+            total = np.zeros(size)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2_000):
+                    part = batch.slice(at, 2_000)
+                    y = np.array([np.nan if v is None else v for v in part["y"].to_pylist()], float)
+                    total += of(_views(part), y, np.array(part["held"].to_pylist(), bool))
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "sums"])
+
+        return settled(sums())
+
+    def added(table: pa.Table) -> pa.Table:
+        release_memory()
+        total = sum((np.frombuffer(x) for x in table["sums"].to_pylist()), np.zeros(size))
+        return pa.table({"part": table["part"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "part int, sums binary"
+    got = rows.mapInArrow(run, kind).groupBy("part").applyInArrow(added, kind).toArrow()
+    return sum((np.frombuffer(x) for x in got["sums"].to_pylist()), np.zeros(size))
+
+
+_SIZES = (N_CONTENT, N_META)
+#: What is known of a row in a fit: labelled, or labelled by the other view, as bad or as good.
+_GROUPS = 3
+
+
+def _moments(views, y, held):
+    """Rows of both labels among those to fit and those held out, then sums and squares of the features of those to fit."""
+    some = ~np.isnan(y) & ~held
+    counts = [np.sum(some & (y == 0)), np.sum(some & (y == 1)), np.sum(held & (y == 0)), np.sum(held & (y == 1))]
+    return np.concatenate([counts, *(f for x in views for f in (x[some].sum(axis=0), (x[some] ** 2).sum(axis=0)))])
+
+
+def _newton(models: list[View], teach: list[View] | None):
+    """The sums of a Newton step of both views: for each view and group the number of rows, gradient and Hessian."""
+
+    def of(views, y, held):
+        out = []
+        for k, (m, x) in enumerate(zip(models, views, strict=True)):
+            group = np.where(np.isnan(y), -1, np.where(held, -1, 0))
+            label = np.nan_to_num(y)
+            if teach is not None:
+                said, (low, high) = teach[1 - k].logit(views[1 - k]), teach[1 - k].cuts
+                free = np.isnan(y)
+                group[free & (said < low)], group[free & (said > high)] = 1, 2
+                label = np.where(free, said > high, label)
+            for g in range(_GROUPS):
+                z, mine = m.rows(x[group == g]), label[group == g]
+                p = 1 / (1 + np.exp(-np.clip(z @ m.weights, -30, 30)))
+                out += [np.array([len(z)]), z.T @ (mine - p), ((z * np.maximum(p * (1 - p), LEAST_CURVE)[:, None]).T @ z).ravel()]
+        return np.concatenate(out)
+
+    return of
+
+
+_STEP_SIZE = sum(_GROUPS * (1 + d + 1 + (d + 1) ** 2) for d in _SIZES)
+
+
+def _stepped(models: list[View], sums: np.ndarray, labelled: tuple[float, float]) -> tuple[list[View], list[list[float]]]:
+    """Models after a Newton step, and how many rows each view was taught."""
+    at, out, taught = 0, [], []
+    for m in models:
+        d = len(m.weights)
+        parts = sums[at : at + _GROUPS * (1 + d + d * d)].reshape(_GROUPS, 1 + d + d * d)
+        at += parts.size
+        many = parts[1:, 0]
+        # pseudo-labelled rows of a class weigh as much together as its labelled ones at most, and both classes the same share of that
+        share = min(min(1.0, n / c) for n, c in zip(many, labelled, strict=True))
+        weight = np.array([1.0, *(share * c / n if n else 0.0 for n, c in zip(many, labelled, strict=True))])
+        both = weight @ parts
+        out.append(View(m.mean, m.scale, solved(both[1 : 1 + d], both[1 + d :].reshape(d, d), m.weights)))
+        taught.append([float(n) if share else 0.0 for n in many])
+    return out, taught
+
+
+def cuts_of(bad: np.ndarray, good: np.ndarray, middle: np.ndarray) -> tuple[float, float]:
+    """Logits beyond which held-out rows of one class alone stand, as good as: of n rows e are wrong and (e + 1) / (n + 1) is at most 1 - SURE."""
+
+    def cut(right: np.ndarray, wrong: np.ndarray) -> float:
+        """Over cells from the surest on, the last that qualifies."""
+        n, e = np.cumsum(right + wrong), np.cumsum(wrong)
+        fits = np.flatnonzero((e + 1) <= (1 - SURE) * (n + 1))
+        return fits[-1] if len(fits) else -1
+
+    low, high = cut(bad, good), cut(good[::-1], bad[::-1])
+    half = (middle[1] - middle[0]) / 2
+    return (middle[low] + half if low >= 0 else -np.inf, middle[len(middle) - 1 - high] - half if high >= 0 else np.inf)
+
+
+def _cells(models: list[View], only_held: bool):
+    edges = lambda logit: np.clip((logit + BOUND) / (2 * BOUND) * GRID, 0, GRID - 1).astype(np.int64)
+
+    def of(views, y, held):
+        some = held if only_held else ~np.isnan(y)
+        a, b = (edges(m.logit(x[some])) for m, x in zip(models, views, strict=True))
+        return np.bincount((y[some].astype(np.int64) * GRID + a) * GRID + b, minlength=2 * GRID * GRID).astype(float)
+
+    return of
+
+
+def _calibrated(rows: DataFrame, models: list[View], held: tuple[float, float]) -> CoTrained:
+    """models with their curves, on the held-out rows (on all labelled ones if these are not of both classes)."""
+    grid = _summed(rows, 2 * GRID * GRID, _cells(models, min(held) >= 1)).reshape(2, GRID, GRID)
+    y, a, b = np.nonzero(grid)
+    middle = lambda k: (k + 0.5) / GRID * 2 * BOUND - BOUND
+    out = CoTrained(models)
+    out.calibrate(np.column_stack([middle(a), middle(b)]), y.astype(float), grid[y, a, b])
+    for k, v in enumerate(out.views):
+        low, high = cuts_of(*grid.sum(axis=2 - k), middle(np.arange(GRID)))
+        slope, constant = v.curve
+        if slope > 0:  # and its curve must say so
+            v.cuts = min(low, (-np.log(SURE / (1 - SURE)) - constant) / slope), max(high, (np.log(SURE / (1 - SURE)) - constant) / slope)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> CoTrained | None:
+    """The models, from docs and labels (doc_id, quality)."""
+    tables = Tables(docs.sparkSession)
+    rows = tables.keep(features(docs, labels, id_col, text_col), "features")
+    got = _summed(rows, 4 + 2 * sum(_SIZES), _moments)
+    labelled, held = (got[0], got[1]), (got[2], got[3])
+    if min(labelled) < 1:
         return None
-    x, y = np.frombuffer(b"".join(got["x"].to_pylist())).reshape(len(got), -1), got["y"].to_numpy().astype(float)
-    x, y = x[x[:, -1] > 0], y[x[:, -1] > 0]
-    views, has = (x[:, :N_CONTENT], x[:, N_CONTENT:-1]), ~np.isnan(y)
-    return co_train([v[has] for v in views], y[has], [v[~has][:pool_rows] for v in views])
+    models, at = [], 4
+    for d in _SIZES:
+        mean = got[at : at + d] / sum(labelled)
+        spread = np.sqrt(np.maximum(got[at + d : at + 2 * d] / sum(labelled) - mean**2, 0))
+        models.append(View(mean, np.where(spread < 1e-6, 1.0, spread), np.zeros(d + 1)))
+        at += 2 * d
+    for _ in range(FIRST_STEPS):
+        models, taught = _stepped(models, _summed(rows, _STEP_SIZE, _newton(models, None)), labelled)
+    for _ in range(rounds):
+        teach = _calibrated(rows, models, held).views
+        for _ in range(STEPS):
+            models, taught = _stepped(models, _summed(rows, _STEP_SIZE, _newton(models, teach)), labelled)
+        if not any(map(sum, taught)):
+            break
+    out = _calibrated(rows, models, held)
+    tables.drop(rows)
+    out.exchanged = taught[::-1]  # what a view was taught the other said
+    release_memory()
+    return out
 
 
 def scored(model: CoTrained | None, batch: pa.RecordBatch) -> np.ndarray:
