@@ -1,14 +1,17 @@
 """Secret scan: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
-Two models of order 2 are trained from labelled samples: random strings of the usual key alphabets (seeded), and ordinary
-identifiers, numbers and rules built from words of the corpus and a short fixed list. A run of key characters, or what fixed patterns leave of it, is a
-secret if its log-likelihood ratio a character exceeds a threshold for its length set on held-out samples, so that at most
-MISTAKES of the ordinary ones pass. If the whole is none, the part between separators that exceeds most is judged, and then what lies beside it.
+Two models of order 2 are trained from labelled samples: secrets (what the fixed patterns find in all texts, and random strings of the usual key
+alphabets, seeded) and ordinary text (all other words of all texts, and identifiers, numbers and rules built from words of the corpus
+and a short fixed list). A run of key characters, or what fixed patterns leave of it, is a secret if its log-likelihood ratio a character
+exceeds a threshold for its length set on held-out samples, so that at most MISTAKES of the ordinary ones pass. If the whole is none, the
+part between separators that exceeds most is judged, and then what lies beside it.
 
-The words come from a bounded sample of documents (SAMPLE_DOCS, SAMPLE_WORDS); the scan covers every text.
+The corpus is counted once: every task adds up its trigrams in a table of fixed size, and Spark adds up the tables, so the driver gets one
+row for each of at most 69**3 trigrams and label. Built identifiers take their words from a bounded sample of documents (SAMPLE_DOCS different ones,
+SAMPLE_WORDS words); the scan covers every text.
 
 Defined results: a null text counts as empty and has no spans; very long texts are scanned whole; repeated rows give
-repeated results; ties can't arise, as spans of the model never overlap others; without any words the fixed list alone trains the
+repeated results and count as often; ties can't arise, as spans of the model never overlap others; without any words the fixed list alone trains the
 model; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -24,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, pick
+from .common import map_texts, pick, settled, sliced
 
 SAMPLE_DOCS = 2_000
 SAMPLE_WORDS = 20_000
 RANDOM_STRINGS = 8_000
 MISTAKES = 0.0005
+#: The weight of what fixed patterns find in the corpus, of that of the random strings: passwords are often words.
+SECRET_SHARE = 0.25
 #: What words the sample lacks may hold: without it a few unseen letters would make any word a secret.
 FLOOR = 0.2
 #: The log-odds against a secret before it is read: a run must speak for one by more.
@@ -72,14 +77,18 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def trigrams(samples: list[str]) -> np.ndarray:
+    counts = np.zeros((_N, _N, _N))
+    for s in samples:
+        c = codes(s)
+        np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
+    return counts
+
+
 class Markov:
     """Transition log-probabilities of order 2; what was seen too little falls back on orders 1 and 0, and a share FLOOR on none."""
 
-    def __init__(self, samples: list[str], weight: float = 8.0):
-        counts = np.zeros((_N, _N, _N))
-        for s in samples:
-            c = codes(s)
-            np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
+    def __init__(self, counts: np.ndarray, weight: float = 8.0):
         zero = (counts.sum(axis=(0, 1)) + 0.5) / (counts.sum() + 0.5 * _N)
         one = counts.sum(axis=0)
         one = (one + weight * zero) / (one.sum(axis=1, keepdims=True) + weight)
@@ -134,12 +143,21 @@ def ordinary_runs(words: list[str], n: int, rng: random.Random) -> list[str]:
     return out
 
 
+def joint(samples: np.ndarray, corpus: np.ndarray | None, share: float) -> np.ndarray:
+    """Counts of samples and of the corpus, the latter with at most share of the samples' weight."""
+    if corpus is None or not corpus.sum():
+        return samples
+    return samples + corpus * min(1.0, share * samples.sum() / corpus.sum())
+
+
 class SecretModel:
-    def __init__(self, words: list[str], seed: int = 11):
+    """words: ordinary words of the corpus; ordinary, secret: trigram counts of the corpus by label."""
+
+    def __init__(self, words: list[str], ordinary: np.ndarray | None = None, secret: np.ndarray | None = None, seed: int = 11):
         rng = random.Random(seed)
         good, held_good = (ordinary_runs(words, RANDOM_STRINGS, rng) for _ in range(2))
         bad, held_bad = (random_strings(RANDOM_STRINGS, rng) for _ in range(2))
-        self.ratio = Markov(bad).table - Markov(good).table
+        self.ratio = Markov(joint(trigrams(bad), secret, SECRET_SHARE)).table - Markov(joint(trigrams(good), ordinary, 1.0)).table
         # short runs are cut from longer ones, and ordinary ones are joined to be long enough
         long = [f"{x}_{y}" if len(x) < LENGTHS[-1] else x for x, y in zip(held_good, held_good[1:] + held_good[:1], strict=True)]
         at = [np.sort([self.score(s[:n]) for s in {*held_good, *long} if len(s) >= n]) for n in LENGTHS]
@@ -191,20 +209,103 @@ class SecretModel:
 
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """base and the runs that the models call random, sorted."""
-        found = []
+        found, taken, j = [], merged(base), 0
         for m in _RUN.finditer(text):
-            at = m.start()
-            for a, b in [*((a, b) for a, _, b in base if a < m.end() and m.start() < b), (m.end(), m.end())]:
+            at, end = m.span()
+            while j < len(taken) and taken[j][1] <= at:
+                j += 1
+            k = j
+            while at < end:
+                a, b = taken[k] if k < len(taken) and taken[k][0] < end else (end, end)
                 if a > at:
                     found += [(at + x, 3, at + y) for x, y in self._judged(text[at:a])]
-                at = max(at, b)
+                at, k = max(at, b), k + 1
         return sorted(base + found) if found else base
 
+    def scores(self, text: str, spans: list[tuple[int, int, int]]) -> list[float]:
+        """The ratio a character of each span, whatever found it."""
+        return [round(self.score(text[a:b]), 3) for a, _, b in spans]
+
+
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What sorted spans cover, as stretches that don't overlap."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+_CODE_OF_BYTE = np.full(256, -1, np.int64)
+_CODE_OF_BYTE[[ord(c) for c in _LETTERS]] = np.arange(len(_LETTERS))
+#: Letters of a word that counts as ordinary: in lower case, in upper case, or with one capital in front. Others may be parts of secrets.
+WORD_LETTERS = (3, 16)
+
+
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Trigram counts, as one row of cells, of the ordinary words outside fixed patterns, and of what these found."""
+    parts, keys = [], []
+    for text in texts:
+        base, at = base_spans(text), 0
+        for a, b in merged(base):
+            parts.append(text[at:a])
+            at = b
+        parts.append(text[at:])
+        for a, k, b in base:
+            keys.append(_ASSIGN.match(text, a).group(2) if k == 0 else text[a:b])
+    return _cells(" ".join(parts), words=True), _cells(" ".join(keys))
+
+
+def _cells(text: str, words: bool = False) -> np.ndarray:
+    """Trigrams of the runs of key characters, or of ordinary words; two marks stand before each."""
+    c = _CODE_OF_BYTE[np.frombuffer(b"  " + text.encode("utf-8", "surrogatepass") + b" ", np.uint8)]
+    if words:
+        letter, digit = (c >= 0) & (c < 52), (c >= 52) & (c < 62)
+        begin = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
+        end = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
+        capitals = np.concatenate([[0], np.cumsum((c >= 0) & (c < 26))])
+        many, size = capitals[end] - capitals[begin], end - begin
+        good = (size >= WORD_LETTERS[0]) & (size <= WORD_LETTERS[1]) & ~digit[begin - 1] & ~digit[end]
+        good &= (many == 0) | (many == size) | ((many == 1) & (c[begin] < 26))
+        mark = np.zeros(len(c) + 1, np.int32)
+        mark[begin[good]] = 1
+        mark[end[good]] = -1
+        c = np.where(np.cumsum(mark[:-1]) > 0, c, -1)
+    inside = c[2:] >= 0
+    one = np.where(c[1:-1] >= 0, c[1:-1], _N - 1)
+    two = np.where((c[:-2] >= 0) & (c[1:-1] >= 0), c[:-2], _N - 1)
+    return np.bincount(((two * _N + one) * _N + c[2:])[inside], minlength=_N**3)
+
+
+def corpus_counts(t: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """counted() of all texts; each task sends a row for each trigram it met."""
+
+    def run(batches):
+        def sums():
+            ordinary, secret = np.zeros(_N**3, np.int64), np.zeros(_N**3, np.int64)
+            for batch in batches:
+                for part in sliced(batch):
+                    a, b = counted([x or "" for x in part["text"].to_pylist()])
+                    ordinary += a
+                    secret += b
+            for label, n in ((0, ordinary), (1, secret)):
+                cell = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), label, np.int32)), pa.array(cell.astype(np.int32)), pa.array(n[cell])], ["label", "cell", "n"])
+
+        return settled(sums())
+
+    got = t.select("text").mapInArrow(run, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((2, _N**3))
+    out[got["label"].to_numpy(), got["cell"].to_numpy()] = got["n"].to_numpy()
+    return out[0].reshape(_N, _N, _N), out[1].reshape(_N, _N, _N)
+
 
 def sample_words(t: DataFrame, docs: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> list[str]:
-    """Words of the documents with the least hashes of their ids; both numbers are bounds."""
-    h = F.xxhash64("doc_id")
-    least = t.select(h.alias("h")).orderBy("h").limit(docs).agg(F.max("h")).first()[0]
+    """Words of the different documents with the least hashes; both numbers are bounds."""
+    h = F.xxhash64("doc_id", "text")
+    least = t.select(h.alias("h")).distinct().orderBy("h").limit(docs).agg(F.max("h")).first()[0]
     if least is None:
         return []
     some = t.where(h <= least).select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\b[A-Za-z]{3,16}\b"), F.lit(0)))).alias("w"))
@@ -212,7 +313,8 @@ def sample_words(t: DataFrame, docs: int = SAMPLE_DOCS, words: int = SAMPLE_WORD
 
 
 def trained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SecretModel:
-    return SecretModel(sample_words(pick(df, doc_id=id_col, text=text_col)))
+    t = pick(df, doc_id=id_col, text=text_col)
+    return SecretModel(sample_words(t), *corpus_counts(t))
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -226,27 +328,28 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(df: DataFrame, model: SecretModel | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """One row for each row of df: doc_id, counts of the base kinds, base_sha256, spans, n_model and, if asked, masked_text."""
+    """One row for each row of df: doc_id, counts of the base kinds, base_sha256, spans, n_model, the ratio of each span and, if asked, masked_text."""
     t = pick(df, doc_id=id_col, text=text_col)
     model = model or trained(df, id_col, text_col)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(8)]
         for text in batch["text"].to_pylist():
             text = text or ""
             base = base_spans(text)
             spans = model.spans(text, base)
             kinds = [k for _, k, _ in spans]
+            scores = model.scores(text, spans)
             text = masked(text, spans) if with_text else ""
-            for c, v in zip(cols, (kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), kinds.count(3), text), strict=True):
+            for c, v in zip(cols, (kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), kinds.count(3), scores, text), strict=True):
                 c.append(v)
-        types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.string()]
-        names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model", "masked_text"]
-        n = 7 if with_text else 6
+        types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.list_(pa.float64()), pa.string()]
+        names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model", "scores", "masked_text"]
+        n = 8 if with_text else 7
         return pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, k) for c, k in zip(cols[:n], types, strict=False))], ["doc_id", *names[:n]])
 
     kind = t.schema["doc_id"].dataType.simpleString()
-    return map_texts(t, fn, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_model long" + (", masked_text string" if with_text else ""))
+    return map_texts(t, fn, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_model long, scores array<double>" + (", masked_text string" if with_text else ""))
 
 
 def redact(docs: DataFrame, model: SecretModel | None = None) -> DataFrame:
