@@ -5,10 +5,10 @@ stands at the fractional rank (2r - 1) / 2n. Sorting all rows by it interleaves
 cutting that order into equal runs gives every shard the mixture of the whole. Law: ``rows`` (counts differ by one at most).
 
 No source and no run is gathered in a task: ranks are counted within small buckets of the digest (or of the
-fractional rank) and the counts of the buckets before are added.
+fractional rank) and the counts of the buckets before are added, in two levels: within steps of buckets, and of the steps.
 
-Defined results: a null text has no bytes (size 1); a null source is a source of its own; ties of the digest are
-broken by doc_id, then by text checksum and size, and rows that are alike in all of these are interchangeable; an empty
+Defined results: a null text has no bytes (size 1); a null source is a source of its own; the digest is of id, text checksum and size, its ties are
+broken by these, and rows that are alike in all of them are interchangeable; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -24,13 +24,20 @@ SEED = "interleave-1"
 SHARDS = 16
 #: Rows of a bucket, about.
 BUCKET_ROWS = 512
+#: Buckets of a step. Steps alone are ordered in one task: one row for about two million rows of the table.
+STEP_BUCKETS = 4096
 
 
 def _before(df: DataFrame, group: list[str], bucket: str) -> DataFrame:
-    """For each bucket of a group, the rows in that group's earlier buckets."""
-    counts = df.groupBy(*group, bucket).agg(F.count("*").alias("rows_in"))
-    w = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    return counts.select(*group, bucket, F.coalesce(F.sum("rows_in").over(w), F.lit(0)).alias("before"))
+    """For each bucket of a group, the rows in that group's earlier buckets: those of earlier steps of STEP_BUCKETS buckets, and of its own."""
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    counts = df.groupBy(*group, bucket).agg(F.count("*").alias("rows_in")).withColumn("step", F.floor(F.col(bucket) / STEP_BUCKETS))
+    steps = counts.groupBy(*group, "step").agg(F.sum("rows_in").alias("rows_of"))
+    earlier = W.partitionBy(*group).orderBy("step").rowsBetween(W.unboundedPreceding, -1)
+    steps = steps.select(*(F.col(k).alias(f"s_{k}") for k in [*group, "step"]), F.coalesce(F.sum("rows_of").over(earlier), F.lit(0)).alias("ahead"))
+    own = W.partitionBy(*group, "step").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    inside = counts.withColumn("inside", F.coalesce(F.sum("rows_in").over(own), F.lit(0)))
+    return inside.join(steps, [same(k, f"s_{k}") for k in [*group, "step"]]).select(*group, bucket, (F.col("ahead") + F.col("inside")).alias("before"))
 
 
 def _ranked(df: DataFrame, group: list[str], bucket: str, order: list[str], name: str) -> DataFrame:
@@ -42,8 +49,9 @@ def _ranked(df: DataFrame, group: list[str], bucket: str, order: list[str], name
     return joined.withColumn(name, F.col("before") + rn).drop("before", *(f"b_{k}" for k in keys))
 
 
-def digest(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def digest(doc_id: Column, crc: Column, size: Column, seed: str) -> Column:
+    """Of the id and the text's checksum and size, so that rows of one id are spread, too."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), crc.cast("string"), size.cast("string")))
 
 
 def unit(hex_text: Column) -> Column:
@@ -57,7 +65,7 @@ def interleave(df: DataFrame, shards: int = SHARDS, seed: str = SEED, id_col: st
     t = pick(df, doc_id=id_col, text=text_col, source=source_col)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = tables.keep(
-        t.select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), digest(F.col("doc_id"), seed).alias("digest")),
+        t.select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")).withColumn("digest", digest(F.col("doc_id"), F.col("text_crc32"), F.col("size"), seed)),
         "rows",
     )
     per = rows.groupBy("source").agg(F.count("*").alias("n_source"))
@@ -88,12 +96,12 @@ OP10_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 t AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b::BIGINT, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
           lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
-h AS (SELECT doc_id, source, strlen(text) + 1 AS size, hex(encode(text)) AS x,
-             md5(concat('interleave-1:', coalesce(doc_id::VARCHAR, 'null'))) AS digest FROM d),
-b AS (SELECT doc_id, source, size, digest,
+h AS (SELECT doc_id, source, strlen(text) + 1 AS size, hex(encode(text)) AS x FROM d),
+b AS (SELECT doc_id, source, size,
              list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), lambda i: ('0x' || x[2 * i + 1 : 2 * i + 2])::BIGINT)) AS bytes FROM h),
-c AS (SELECT doc_id, source, size::BIGINT AS size, digest,
+e AS (SELECT doc_id, source, size::BIGINT AS size,
              xor(list_reduce(bytes, lambda a, y: xor(a >> 8, tab[(xor(a, y) & 255) + 1])), 4294967295) AS text_crc32 FROM b, t),
+c AS (SELECT *, md5(concat_ws(':', 'interleave-1', coalesce(doc_id::VARCHAR, 'null'), text_crc32::VARCHAR, size::VARCHAR)) AS digest FROM e),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY digest, doc_id, text_crc32, size) AS rank,
              count(*) OVER (PARTITION BY source) AS n_source, count(*) OVER () AS total FROM c),
 p AS (SELECT *, row_number() OVER (ORDER BY (2 * rank - 1)::DOUBLE / (2 * n_source)::DOUBLE, source NULLS FIRST, digest, doc_id, text_crc32, size) - 1 AS position FROM r),
