@@ -10,7 +10,7 @@ which the budget is reached. Tokens are words; the search evaluates five levels
 one row for each source, and no source or block list is gathered in a task or on the driver beyond those sums.
 
 Defined results: a null source is a source of its own; rows without words have no tokens and go with their block, in whole passes and in the
-last one if it has reached them; a source without any token is read once, after all others' blocks of the pass; repeated rows share a block
+last one if it has reached them; a source without any token is read once, after all others (mix_at 1); repeated rows share a block
 and are interchangeable; ties of the seeded hash are broken by id; an empty table gives an empty result.
 """
 
@@ -91,9 +91,10 @@ def shuffled(*what: Column, seed: int) -> Column:
 
 
 def mix(df: DataFrame, goal: Goal = Goal(), block_tokens: int = BLOCK_TOKENS, seed: int = SEED, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """df's rows as often as they are read, in columns as in df, then mix_source, mix_weight, mix_tokens, mix_pass, mix_block, mix_position (in the block).
+    """df's rows as often as they are read, in columns as in df, then mix_source, mix_weight, mix_tokens, mix_pass, mix_block, mix_position (in the block), mix_at.
 
-    The order of training is by mix_pass, then blocks by a hash of pass and block, then mix_position.
+    mix_at is the share of its source's tokens that are read before the row. In this order a source is read pass by pass and block by block, and all sources
+    together keep to their weights from the begin to the end; sorted by it (range-partitioned), the table is the order of training.
     """
     tables = Tables(df.sparkSession)
     names = df.columns
@@ -102,7 +103,8 @@ def mix(df: DataFrame, goal: Goal = Goal(), block_tokens: int = BLOCK_TOKENS, se
     tokens = F.coalesce(F.size(words_of(F.coalesce(text, F.lit("")))), F.lit(0)).cast("long")
     rows = flat.select(*flat.columns, source.alias("mix_source"), tokens.alias("mix_tokens"), doc.cast("string").alias("mix_id"))
 
-    per = tables.keep(rows.groupBy("mix_source").agg(F.sum("mix_tokens").alias("t")), "sources")
+    narrow = tables.keep(rows.select("mix_source", "mix_tokens", "mix_id"), "tokens")
+    per = tables.keep(narrow.groupBy("mix_source").agg(F.sum("mix_tokens").alias("t")), "sources")
     total = per.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
     shares = per.select("mix_source", "t", (F.col("t") / F.lit(max(total, 1))).alias("p"))
     some = shares.where("t > 0")
@@ -112,35 +114,39 @@ def mix(df: DataFrame, goal: Goal = Goal(), block_tokens: int = BLOCK_TOKENS, se
     budget = total if goal.budget is None else (reach * z * (1 + 1e-12)) if goal.budget == "all" else goal.budget
     weights = shares.select(F.col("mix_source").alias("s"), "t", F.when(F.col("t") > 0, power / z).otherwise(0.0).alias("mix_weight"), (F.floor(F.col("t") / block_tokens) + 1).alias("blocks"))
     quota = F.when(F.col("t") > 0, F.col("mix_weight") * budget / F.col("t")).otherwise(1.0)
-    weights = tables.keep(weights.withColumn("passes", F.floor(quota)).withColumn("left", F.floor((quota - F.floor(quota)) * F.col("t"))), "weights")
-
-    placed = rows.join(weights, F.col("mix_source").eqNullSafe(F.col("s"))).drop("s")
-    placed = placed.withColumn("mix_block", F.pmod(shuffled(F.col("mix_id"), seed=seed), F.col("blocks")))
-    # blocks of the last pass, in its order, with the tokens before each
-    sizes = placed.select("mix_source", "mix_block", "passes", "mix_tokens").groupBy("mix_source", "mix_block", "passes").agg(F.sum("mix_tokens").alias("bt"))
-    turn = shuffled(F.col("mix_source"), F.col("passes"), F.col("mix_block"), seed=seed + 1)
-    sizes = sizes.withColumn("turn", turn)
-    # the last pass's order in about 1024 steps of the hash, so that a source's blocks are not ordered in one task
-    sizes = sizes.withColumn("step", F.floor(F.shiftrightunsigned("turn", 54)))
-    steps = sizes.groupBy("mix_source", "step").agg(F.sum("bt").alias("st"))
-    ahead = W.partitionBy("mix_source").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
-    steps = steps.select(F.col("mix_source").alias("s1"), F.col("step").alias("k1"), F.coalesce(F.sum("st").over(ahead), F.lit(0)).alias("step_before"))
-    within = W.partitionBy("mix_source", "step").orderBy(F.shiftleft("turn", 10), "mix_block").rowsBetween(W.unboundedPreceding, -1)
-    before = sizes.withColumn("block_before", F.coalesce(F.sum("bt").over(within), F.lit(0))).join(steps, F.col("mix_source").eqNullSafe(F.col("s1")) & (F.col("step") == F.col("k1")))
-    before = tables.keep(before.select(F.col("mix_source").alias("s2"), F.col("mix_block").alias("b2"), (F.col("step_before") + F.col("block_before")).alias("before")), "blocks")
-
-    # a pass for each whole reading, and the last one if its budget reaches the block
-    known = placed.join(before, F.col("mix_source").eqNullSafe(F.col("s2")) & (F.col("mix_block") == F.col("b2"))).drop("s2", "b2")
-    reads = F.col("passes") + F.when(F.col("before") < F.col("left"), 1).otherwise(0)
-    read = known.where(reads > 0).withColumn("mix_pass", F.explode(F.sequence(F.lit(0).cast("long"), reads - 1)))
+    weights = weights.withColumn("passes", F.floor(quota)).withColumn("left", F.floor((quota - F.floor(quota)) * F.col("t")))
+    weights = tables.keep(weights.withColumn("quota", F.col("passes") * F.col("t") + F.col("left")), "weights")
+
+    def placed(df: DataFrame) -> DataFrame:
+        """With the weight of the source, and the row's block."""
+        known = df.join(weights, F.col("mix_source").eqNullSafe(F.col("s"))).drop("s")
+        return known.withColumn("mix_block", F.pmod(shuffled(F.col("mix_id"), seed=seed), F.col("blocks")))
+
+    # each pass's blocks in its own order, with the tokens of the source before each; in about 1024 steps of the hash, so that a source's blocks are not ordered in one task
+    sizes = placed(narrow).groupBy("mix_source", "mix_block", "passes", "left", "t").agg(F.sum("mix_tokens").alias("bt"))
+    reads = F.col("passes") + F.when(F.col("left") > 0, 1).otherwise(0)
+    sizes = sizes.where(reads > 0).withColumn("mix_pass", F.explode(F.sequence(F.lit(0).cast("long"), reads - 1)))
+    sizes = sizes.withColumn("turn", shuffled(F.col("mix_source"), F.col("mix_pass"), F.col("mix_block"), seed=seed + 1))
+    sizes = tables.keep(sizes.withColumn("step", F.floor(F.shiftrightunsigned("turn", 54))), "sizes")
+    steps = sizes.groupBy("mix_source", "mix_pass", "step").agg(F.sum("bt").alias("st"))
+    ahead = W.partitionBy("mix_source", "mix_pass").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
+    steps = steps.select(F.col("mix_source").alias("s1"), F.col("mix_pass").alias("p1"), F.col("step").alias("k1"), F.coalesce(F.sum("st").over(ahead), F.lit(0)).alias("step_before"))
+    within = W.partitionBy("mix_source", "mix_pass", "step").orderBy(F.shiftleft("turn", 10), "mix_block").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.withColumn("block_before", F.coalesce(F.sum("bt").over(within), F.lit(0)))
+    before = before.join(steps, F.col("mix_source").eqNullSafe(F.col("s1")) & (F.col("mix_pass") == F.col("p1")) & (F.col("step") == F.col("k1")))
+    before = before.withColumn("before", F.col("step_before") + F.col("block_before")).where((F.col("mix_pass") < F.col("passes")) | (F.col("before") < F.col("left")))
+    before = tables.keep(before.select(F.col("mix_source").alias("s2"), F.col("mix_block").alias("b2"), "mix_pass", "before"), "blocks")
+
+    read = placed(rows).join(before, F.col("mix_source").eqNullSafe(F.col("s2")) & (F.col("mix_block") == F.col("b2"))).drop("s2", "b2")
     order = W.partitionBy("mix_source", "mix_block", "mix_pass").orderBy(shuffled(F.col("mix_id"), F.col("mix_pass"), seed=seed + 2), "mix_id")
     read = read.withColumn("mix_position", F.row_number().over(order)).withColumn("row_before", F.coalesce(F.sum("mix_tokens").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     taken = read.where((F.col("mix_pass") < F.col("passes")) | (F.col("before") + F.col("row_before") < F.col("left")))
-    extra = ["mix_source", "mix_weight", "mix_tokens", "mix_pass", "mix_block", "mix_position"]
-    return taken.select(*flat.columns, *extra).toDF(*names, *extra)
+    at = F.when(F.col("quota") > 0, (F.col("mix_pass") * F.col("t") + F.col("before") + F.col("row_before")) / F.col("quota")).otherwise(1.0)
+    extra = ["mix_source", "mix_weight", "mix_tokens", "mix_pass", "mix_block", "mix_position", "mix_at"]
+    return taken.withColumn("mix_at", at).select(*flat.columns, *extra).toDF(*names, *extra)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text", source="source")
     out = mix(docs)
-    return out.select("doc_id", F.col("mix_source").alias("source"), F.round("mix_weight", 9).alias("weight"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_pass").alias("pass"), F.col("mix_block").alias("block"), F.col("mix_position").cast("long").alias("position"))
+    return out.select("doc_id", F.col("mix_source").alias("source"), F.round("mix_weight", 9).alias("weight"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_pass").alias("pass"), F.col("mix_block").alias("block"), F.col("mix_position").cast("long").alias("position"), F.round("mix_at", 9).alias("at"))

@@ -63,3 +63,34 @@ def test_all_are_read(spark):
 
 def test_empty(spark):
     assert mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_whole_order(spark):
+    """By mix_at every pass is read block by block and whole, row after row, and all sources keep to their weights throughout."""
+    rows = [(i, "w " * (1 + i % 7), "big" if i % 3 else "small" if i % 2 else None) for i in range(900)]
+    rows += [(None, "w w", "big"), (None, None, None), (1, "w w", "big"), (1, "w w", "big")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as t", "2 as blocks", "'x' as TEXT", "3 as mix_id", "4 as passes", "5 as s")
+    out = mix(df, Goal(entropy=None, repeat=3.0), block_tokens=60)
+    assert out.columns[: len(df.columns)] == df.columns
+    got = out.select("source", "mix_weight", "mix_tokens", "mix_pass", "mix_block", "mix_position", "mix_at").collect()
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: (str(r.source), r.mix_at, r.mix_pass, r.mix_position)):
+        by[r.source].append(r)
+    first_orders = {}
+    for s, own in by.items():
+        quota, before = sum(r.mix_tokens for r in own), 0
+        blocks = []
+        for r in own:
+            assert abs(r.mix_at * quota - before) <= 8 + quota * 0.02, s  # the last row may go past the budget
+            before += r.mix_tokens
+            if not blocks or blocks[-1] != (r.mix_pass, r.mix_block):
+                blocks.append((r.mix_pass, r.mix_block))
+        assert [p for p, _ in blocks] == sorted(p for p, _ in blocks)
+        assert len(blocks) <= len(set(blocks)) + 3  # blocks without tokens share a place
+        first_orders[s] = [[b for p, b in blocks if p == k] for k in sorted({p for p, _ in blocks})]
+    assert any(len(o) > 1 and len(o[0]) > 2 and o[0] != o[1] for o in first_orders.values())  # a new permutation for each pass
+    weight = {s: own[0].mix_weight for s, own in by.items()}
+    total = sum(r.mix_tokens for r in got)
+    for cut in (0.25, 0.5, 0.75):
+        for s, own in by.items():
+            assert abs(sum(r.mix_tokens for r in own if r.mix_at < cut) / total - cut * weight[s]) < 0.03
