@@ -2,7 +2,8 @@
 
 Each line is judged by three rules: punctuation (a line that is shouted, that carries junk symbols, or that
 is one or two words and does not end like a sentence), navigation (a line cut up by separators) and
-boilerplate (stock phrases of web pages). Lines that fail are removed; a document that loses too much of its
+boilerplate (stock phrases of web pages and licences, in four languages). Lines that many documents share are
+no sign of it here: copies of clean documents share all of theirs. Lines that fail are removed; a document that loses too much of its
 words with them is rejected, as is one that fails the base rules.
 
 Defined results: a null text counts as empty and fails the base rules; ties don't arise (each row is judged alone,
@@ -28,11 +29,16 @@ MAX_JUNK_SHARE = 0.25
 MAX_SEPARATOR_SHARE = 0.25
 #: A document is rejected if its removed lines hold more than this share of its words.
 MAX_LOST_SHARE = 0.5
-BOILERPLATE = r"(?i)lorem ipsum|all rights reserved|terms of (use|service)|privacy policy|cookie policy|use of cookies|enable javascript|click here to|sign up for our newsletter"
-
-
+#: Stock phrases of web pages and licence lines, in the four languages; in any case, but for accents, of which both are named.
+BOILERPLATE = "(?i)" + "|".join([
+    "lorem ipsum", "all rights reserved", "terms of (use|service)", "privacy policy", "cookie policy", "use of cookies", "enable javascript", "click here to", "sign up for our newsletter",
+    "(licensed|released) under (the|cc|a) ",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "allgemeine gesch[äÄ]ftsbedingungen", "datenschutzerkl[äÄ]rung", "verwendung von cookies", "newsletter abonnieren",
+    "tous droits r[éÉ]serv[éÉ]s", "conditions (g[éÉ]n[éÉ]rales|d.utilisation)", "politique de confidentialit[éÉ]", "utilisation de(s)? cookies", "mentions l[éÉ]gales", "cliquez ici",
+    "todos los derechos reservados", "t[éÉ]rminos y condiciones", "pol[íÍ]tica de (privacidad|cookies)", "aviso legal", "uso de cookies", "haga clic aqu[íÍ]",
+])
 #: A cheap look for any of the phrases, on the lower-cased line.
-STOCK = r"lorem|rights reserved|terms of|privacy|cookie|javascript|click here|newsletter"
+STOCK = "lorem|reserv|droits|terms of|privacy|cookie|javascript|click here|newsletter|under (?:the|cc|a) |vorbehalten|bedingungen|datenschutz|conditions|confidentialit|mentions l|cliquez|condiciones|privacidad|aviso legal|haga clic"
 
 
 def bind(value: Column, fn) -> Column:
@@ -145,7 +151,7 @@ bad AS (SELECT r, sum(n)::BIGINT AS lost FROM ln
            OR (length(letters) >= 20 AND NOT regexp_matches(x, '[a-z]'))
            OR (n < 3 AND NOT regexp_matches(x, '[.!?:;…。！？]["''”’)\]]*[\x20\x09-\x0D]*$'))
            OR len(regexp_extract_all(x, '[|»›•]')) > 0.25 * n
-           OR regexp_matches(x, '(?i)lorem ipsum|all rights reserved|terms of (use|service)|privacy policy|cookie policy|use of cookies|enable javascript|click here to|sign up for our newsletter')
+           OR regexp_matches(x, 'BOILERPLATE')
         GROUP BY r),
 f AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
              (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
@@ -156,4 +162,4 @@ g AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND lost_words <= 0.5 * n_words AS kept, lost_words
 FROM g
-"""
+""".replace("BOILERPLATE", BOILERPLATE)
