@@ -31,7 +31,7 @@ from .common import map_texts, pick
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of pieces and ids, about, that a worker remembers in all; what an entry costs besides.
-MEMORY_BYTES, ENTRY_BYTES = 64 << 20, 300
+MEMORY_BYTES, ENTRY_BYTES = 48 << 20, 300
 #: Pairs of tokens whose compatibility a worker remembers before it starts anew.
 PAIRS = 200_000
 _END = 256
@@ -363,6 +363,11 @@ _READY: dict[int, WordBpe] = {}
 _NUMBERS = itertools.count(1)
 
 
+def forget() -> None:
+    """A worker lives on between tasks; its encoder need not."""
+    _READY.clear()
+
+
 def encoder(number: int, of: Tables) -> WordBpe:
     if number not in _READY:
         _READY.clear()
@@ -396,7 +401,7 @@ def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
         return pa.RecordBatch.from_arrays(cols + ([pa.array(ids, pa.binary())] if with_ids else []), names + (["ids"] if with_ids else []))
 
     kind = t.schema["doc_id"].dataType.simpleString()
-    return map_texts(t, fn, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else ""))
+    return map_texts(t, fn, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else ""), after=forget)
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

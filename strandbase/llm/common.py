@@ -17,6 +17,8 @@ from ..sources.shared import shared_root
 
 #: Rows whose texts exceed this many bytes in an Arrow batch are worked off in several steps.
 STEP_BYTES = 1 << 20
+ROWS = 1_000
+_ROWS_OF_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def pick(df: DataFrame, **want: str) -> DataFrame:
@@ -87,19 +89,28 @@ def release_memory() -> None:
     _trim()(0)
 
 
-def settled(parts: Iterable) -> Iterator:
-    """parts, and then the worker's free memory goes back."""
+def settled(parts: Iterable, after: Callable[[], object] | None = None) -> Iterator:
+    """parts, then after(), and then the worker's free memory goes back."""
     try:
         yield from parts
     finally:
+        if after:
+            after()
         release_memory()
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
-    """df through fn, slice by slice; fn maps a batch of rows to a batch of results."""
+def small_batches(spark: SparkSession) -> None:
+    """Rows that go to Python at once, ROWS unless the session says otherwise than Spark's default: whole texts are in them, twice, in the JVM and in Python."""
+    if spark.conf.get(_ROWS_OF_BATCH) == "10000":
+        spark.conf.set(_ROWS_OF_BATCH, str(ROWS))
+
+
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", after: Callable[[], object] | None = None) -> DataFrame:
+    """df through fn, slice by slice; fn maps a batch of rows to a batch of results. after is called at a task's end."""
+    small_batches(df.sparkSession)
 
     def run(batches):
-        return settled(fn(part) for batch in batches for part in sliced(batch, column))
+        return settled((fn(part) for batch in batches for part in sliced(batch, column)), after)
 
     return df.mapInArrow(run, schema)
 

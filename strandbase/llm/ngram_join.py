@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Tables, map_texts, pick, release_memory, settled, sliced
+from .common import Tables, map_texts, pick, release_memory, settled, sliced, small_batches
 from .shingles import class_hashes, shingle_sets, words_of_texts
 
 WIDTH = 5
@@ -296,6 +296,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
 def components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, rounds: int = PIVOT_ROUNDS, tables: Tables | None = None) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text): (doc_id, class, n_shingles) of each row, and (class, comp) of each class that may have a link."""
     tables = tables or Tables(docs.sparkSession)
+    small_batches(docs.sparkSession)
     members = tables.keep(document_classes(docs, width), "members")
     sizes = members.where("n_shingles > 0").groupBy("class").agg(F.max("n_shingles").alias("n"))
     totals = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
