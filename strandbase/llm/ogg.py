@@ -157,12 +157,17 @@ def feature(streams: dict[int, Stream], rate: int, payload: bytes) -> str:
     return f"streams={len(order)};pages={sum(s.pages for s in order)};packets={sum(len(s.packets) for s in order)};end_ms={ends};mean_m={mean};power_m={power}"
 
 
+def page_times(streams: dict[int, Stream], rate: int) -> str:
+    """The time in ms at which each page ends that ends a packet, of each stream."""
+    return "/".join(",".join(str(g * 1000 // rate) for g in streams[k].granules) for k in sorted(streams))
+
+
 def padded(data: bytes, unit: int = UNIT) -> bytes:
     return data + bytes(-len(data) % unit or (unit if not data else 0))
 
 
 def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
-    """One row for each row of df: doc_id, sizes and digests of payload and media, feature and, if asked, media (binary)."""
+    """One row for each row of df: doc_id, sizes and digests of payload and media, feature, page times and, if asked, media (binary)."""
     t = pick(df, doc_id=id_col, text=text_col)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -172,14 +177,14 @@ def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             media = write(padded(raw))
             streams = read(media)
             back, rate = payload_of(streams)
-            rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(streams, rate, back), *([media] if with_media else [])))
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
+            rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(streams, rate, back), page_times(streams, rate), *([media] if with_media else [])))
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "page_ms", "media"]
         cols = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, k) for c, k in zip(cols, types, strict=False))], ["doc_id", *names[: len(cols)]])
 
     kind = t.schema["doc_id"].dataType.simpleString()
-    return map_texts(t, fn, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + (", media binary" if with_media else ""))
+    return map_texts(t, fn, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, page_ms string" + (", media binary" if with_media else ""))
 
 
 def op9_ogg(spark, sf_dir: str) -> DataFrame:

@@ -43,3 +43,22 @@ def test_vocabulary_words(both):
     names = sorted(own.names)
     for _ in range(3000):
         same(both, "".join(rng.choice(names).replace("</w>", rng.choice(["", " "])) for _ in range(rng.randrange(1, 5))))
+
+
+def test_any_table(spark, both):
+    import hashlib
+
+    from strandbase.llm.bpe import encode
+
+    own, lib = both
+    rows = [(1, "some Text", "a"), (1, "some Text", "a"), (None, None, None), (2, "", "b"), (3, "words and more w0rds " * 20_000, "c"), (4, "x" * 3000, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string").selectExpr("*", "'x' as TEXT", "1 as n_tokens")
+    got = encode(df).collect()
+    assert len(got) == len(rows)
+    texts = {d: (t or "") for d, t, _ in rows}
+    for r in got:
+        want = lib.encode(texts[r.doc_id], add_special_tokens=False).ids
+        raw = np.array(want, "<u4").tobytes()
+        assert r.n_tokens == len(want) and bytes(r.ids) == raw and r.ids_sha256 == hashlib.sha256(raw).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(want, skip_special_tokens=False).encode()).hexdigest()
+    assert encode(df.limit(0)).count() == 0

@@ -47,3 +47,24 @@ def test_damage():
             payload_of(read(broken))
     with pytest.raises(ValueError):
         read(whole[:-1])
+
+
+def test_any_table(spark):
+    import hashlib
+    import zlib
+
+    from strandbase.llm.ogg import media_column
+
+    rows = [(1, "é text", "a"), (1, "é text", "a"), (None, None, None), (2, "", "b"), (3, "long " * 300_000, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, media string").selectExpr("*", "'x' as TEXT", "1 as feature")
+    got = media_column(df).collect()
+    assert len(got) == 5
+    texts = {d: (t or "") for d, t, _ in rows}
+    for r in got:
+        payload = padded(texts[r.doc_id].encode())
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id].encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert payload_of(read(bytes(r.media)))[0] == payload and r.media_bytes == len(r.media)
+        times = [[int(x) for x in p.split(",")] for p in r.page_ms.split("/")]
+        assert all(p == sorted(p) for p in times) and "/".join(str(p[-1]) for p in times) in r.feature
+    assert len({(r.feature, r.media_sha256) for r in got if r.doc_id == 1}) == 1
+    assert media_column(df.limit(0)).count() == 0
