@@ -10,6 +10,7 @@
    A reader seeks to (slot mod SHARD_SLOTS) * stride and may resume at any slot.
 
 The order depends on the key, on the count and on how the input is split into tasks; the written table fixes it for all later steps and retries.
+What killed attempts leave under temporary names is deleted in the end.
 
 Defined results: a null or empty text is one sequence with the end-of-text id alone; repeated rows are sequences of their own;
 very long texts are many sequences, cut within the task; an empty table writes nothing; other columns are ignored.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Tables, pick, sliced
+from .common import Tables, pick, settled, sliced, small_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END = 50256
@@ -107,7 +108,8 @@ def sequences(df: DataFrame, length: int = LENGTH) -> DataFrame:
                 )
                 place += n
 
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, seq long, ids binary, task long, place long")
+    small_batches(df.sparkSession)
+    return df.mapInArrow(lambda batches: settled(run(batches)), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, seq long, ids binary, task long, place long")
 
 
 def with_slots(tables: Tables, seqs: DataFrame, key: int) -> tuple[DataFrame, int]:
@@ -184,6 +186,16 @@ def write_shards(rows: DataFrame, folder: str, first: int, end: int, length: int
     return laid.mapInArrow(run, f"doc_id {kind}, seq long, n_ids int, ids_crc32 long, slot long, shard long, offset long")
 
 
+def sweep(folder: str) -> None:
+    """Delete what attempts that were killed have left under temporary names. For when no task writes any more."""
+    from pyarrow import fs as pafs
+
+    fs, base = _open(folder)
+    for info in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+        if info.base_name.startswith("_shard-"):
+            fs.delete_file(info.path)
+
+
 def read_slots(folder: str, start: int, count: int, length: int = LENGTH, shard_slots: int = SHARD_SLOTS):
     """The id arrays of slots start to start + count, read in order; a reader that stopped resumes at its next slot."""
     fs, base = _open(folder)
@@ -212,6 +224,7 @@ def materialise(df: DataFrame, folder: str | None = None, key: int = KEY, length
             part = tables.keep(write_shards(rows, folder, first, end, length), "index")
             index = part if index is None else index.union(part)
             tables.release()
+    sweep(folder)
     return index
 
 
