@@ -210,7 +210,7 @@ class WordBpe:
         flat = lambda x: array("i", x.astype(np.intc).tobytes())
         self.length, self.link = t.length.tolist(), t.link.tolist()
         self.token, self.up = flat(t.token), flat(t.up)
-        self.endings: dict[int, tuple] = {}  # as many as states at most
+        self.endings: list[tuple | None] = [None] * len(self.length)
         self.left, self.right, self.merged = flat(t.parts[0]), flat(t.parts[1]), flat(t.rank)
         width = np.zeros(len(t.names), np.intc)
         ends = t.token >= 0
@@ -255,7 +255,7 @@ class WordBpe:
 
     def _extend(self, symbols, states: list[int], matches: list[int], last: list[int]) -> None:
         """Of prefixes that grow by symbols: the automaton's state, the matched length and the last token."""
-        go, length, link, endings, agree = self.to.get, self.length, self.link, self.endings.get, self.agree
+        go, length, link, endings, agree = self.to.get, self.length, self.link, self.endings, self.agree
         fit = agree.get
         state, matched, at = states[-1], matches[-1], len(last) - 1
         for symbol in symbols:
@@ -270,7 +270,7 @@ class WordBpe:
             state = to
             matched += 1
             found = -1
-            for size, token in endings(state) or self._endings(state):
+            for size, token in endings[state] or self._endings(state):
                 if size <= matched:
                     if size == at:
                         found = token
