@@ -43,7 +43,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark)
+    docs, tables, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark), None
     for name, stage in STAGES[:-1]:
         docs = tables.keep(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            tables.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
