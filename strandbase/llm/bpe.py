@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_texts, pick
+from .common import map_texts, pick, release_memory
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of pieces and ids, about, that a worker remembers in all; what an entry costs besides.
@@ -386,6 +386,7 @@ def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     t = pick(df, doc_id=id_col, text=text_col)
     path = path or vocabulary_path()
     known = df.sparkSession.sparkContext.broadcast((next(_NUMBERS), tables(path)))
+    release_memory()  # making the tables takes many times their size
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = encoder(*known.value)

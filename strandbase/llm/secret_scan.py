@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, pick, settled, sliced
+from .common import map_texts, pick, release_memory, settled, sliced
 
 SAMPLE_DOCS = 2_000
 SAMPLE_WORDS = 20_000
@@ -314,7 +314,9 @@ def sample_words(t: DataFrame, docs: int = SAMPLE_DOCS, words: int = SAMPLE_WORD
 
 def trained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SecretModel:
     t = pick(df, doc_id=id_col, text=text_col)
-    return SecretModel(sample_words(t), *corpus_counts(t))
+    model = SecretModel(sample_words(t), *corpus_counts(t))
+    release_memory()
+    return model
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
