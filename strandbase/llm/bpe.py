@@ -8,7 +8,7 @@ token per prefix is stored, and the ids follow from the back-pointers.
 Whether two tokens are compatible follows from their merge histories: the right edge of the first token and the left edge
 of the second change at known ranks, and the pair is broken if, at some time, a merge across the border comes first.
 
-Defined results: a null text counts as empty and has no tokens; very long texts are worked off piece by piece; repeated rows give
+Defined results: a null text counts as empty and has no tokens; very long texts are worked off in parts, cut at blanks; repeated rows give
 repeated results; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -32,6 +32,8 @@ from .common import map_texts, pick, release_memory
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of pieces and ids, about, that a worker remembers in all; what an entry costs besides.
 MEMORY_BYTES, ENTRY_BYTES = 48 << 20, 300
+#: Characters that are worked off together, about, and of the parts that longer texts are cut into.
+STEP_CHARS, PART_CHARS = 2 << 20, 1 << 18
 #: Pairs of tokens whose compatibility a worker remembers before it starts anew.
 PAIRS = 200_000
 _END = 256
@@ -170,15 +172,12 @@ def tables(path: str) -> Tables:
 class Memory(dict):
     """What pieces were found to be, in two halves: when the young one is full the old one goes, so that what is met often stays."""
 
-    def __init__(self, find):
+    def __init__(self):
         super().__init__()
-        self.find, self.old, self.held = find, {}, 0
+        self.old, self.held = {}, 0
 
     def put(self, piece: str, got: tuple[bytes, str]) -> None:
         self.held += ENTRY_BYTES + len(piece) + 5 * len(got[0]) // 2
-        if self.held > MEMORY_BYTES // 2:
-            self.old, self.held = dict(self), 0
-            self.clear()
         self[piece] = got
 
     def renew(self, pieces: set[str]) -> None:
@@ -187,9 +186,11 @@ class Memory(dict):
         for piece in pieces.difference(self).intersection(old):
             self.put(piece, old[piece])
 
-    def __missing__(self, piece: str) -> tuple[bytes, str]:
-        """A half was full in between."""
-        return self.old.get(piece) or self.find(piece)
+    def turn(self) -> None:
+        """Between steps: a step's pieces are all there until it ends."""
+        if self.held > MEMORY_BYTES // 2:
+            self.old, self.held = dict(self), 0
+            self.clear()
 
 
 class WordBpe:
@@ -217,7 +218,7 @@ class WordBpe:
         width[t.token[ends]] = t.length[ends]
         self.width = flat(width)
         self.agree: dict[int, bool] = {}
-        self.memory = Memory(self.piece)
+        self.memory = Memory()
 
     def _edge(self, token: int, side: array) -> list[tuple[int, int]]:
         """A token's outermost part on a side and the rank at which that part is merged away, from the whole token inwards."""
@@ -309,11 +310,6 @@ class WordBpe:
             ids.reverse()
             memory.put(piece, (struct.pack(f"<{len(ids)}I", *ids), "".join([" " + names[i] for i in ids])))
 
-    def piece(self, piece: str) -> tuple[bytes, str]:
-        """Of a piece: its ids in 4 bytes each, and its decoded tokens, each after a blank."""
-        self.learn([piece])
-        return self.memory.pop(piece)
-
     def pieces(self, text: str) -> list[str]:
         """The normalised text's pieces: letters, digits one by one, or other signs."""
         if _EASY.fullmatch(text):
@@ -326,38 +322,58 @@ class WordBpe:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """encode() of each; pieces that are new are learnt together."""
-        memory, parts = self.memory, []
-        new: set[str] = set()
-        for text in texts:
-            mine = []
+        """encode() of each; the new pieces of a step of about STEP_CHARS are learnt together."""
+        out: list[tuple[list, list]] = [([], []) for _ in texts]
+        step, size = [], 0
+        for i, text in enumerate(texts):
+            for part in parts_of(text):
+                step.append((i, part))
+                size += len(part)
+                if size >= STEP_CHARS:
+                    self._encode_step(step, out)
+                    step, size = [], 0
+        self._encode_step(step, out)
+        return [(b"".join(ids), "".join(words)[1:]) for ids, words in out]
+
+    def _encode_step(self, step: list[tuple[int, str]], out: list[tuple[list, list]]) -> None:
+        memory, cut, new = self.memory, [], set()
+        for i, text in step:
             for part in self.special_cut.split(text) if self.special_cut else [text]:
                 if part in self.special:
-                    mine.append(part)
+                    cut.append((i, part))
                 elif part:
-                    mine.append(self.pieces(part))
-                    new.update(mine[-1])
-            parts.append(mine)
+                    cut.append((i, self.pieces(part)))
+                    new.update(cut[-1][1])
         memory.renew(new)
         self.learn(new.difference(memory))
-        out = []
-        for mine in parts:
-            ids, words = [], []
-            for part in mine:
-                if isinstance(part, str):
-                    ids.append(struct.pack("<I", self.special[part]))
-                    words.append(" " + part)
-                else:
-                    got = [memory[piece] for piece in part]
-                    ids += [a for a, _ in got]
-                    words += [b for _, b in got]
-            out.append((b"".join(ids), "".join(words)[1:]))
-        return out
+        for i, part in cut:
+            ids, words = out[i]
+            if isinstance(part, str):
+                ids.append(struct.pack("<I", self.special[part]))
+                words.append(" " + part)
+            else:
+                got = [memory[piece] for piece in part]
+                ids.append(b"".join([a for a, _ in got]))
+                words.append("".join([b for _, b in got]))
+        memory.turn()
 
     def decode(self, ids: bytes) -> str:
         return " ".join(self.names[i] for i in np.frombuffer(ids, "<u4").tolist())
 
 
+def parts_of(text: str, most: int = 0):
+    """A text in parts of about PART_CHARS, cut before a blank: no piece, special token or sign that normalisation looks at reaches across one."""
+    most, at = most or PART_CHARS, 0
+    while len(text) - at > most:
+        to = text.rfind(" ", at + 1, at + most)
+        to = to if to > 0 else text.find(" ", at + most)
+        if to < 0:
+            break
+        yield text[at:to]
+        at = to
+    yield text[at:]
+
+
 #: Of this worker: the last vocabulary's number and its encoder.
 _READY: dict[int, WordBpe] = {}
 _NUMBERS = itertools.count(1)

@@ -37,6 +37,17 @@ def test_random_texts(both):
         same(both, "".join(rng.choice(kind) for _ in range(rng.randrange(60))))
 
 
+def test_parts(both, monkeypatch):
+    """Texts in small parts and a memory that is always full give the same."""
+    from strandbase.llm import bpe
+
+    rng = random.Random(5)
+    for name, v in (("PART_CHARS", 7), ("STEP_CHARS", 20), ("MEMORY_BYTES", 2000), ("PAIRS", 10)):
+        monkeypatch.setattr(bpe, name, v)
+    for _ in range(400):
+        same(both, "".join(rng.choice(["word", "ΑΣ", "ΣΣ.", " ", "  ", "\n", "\u00a0", "<|endoftext|>", "́x", " ́", "don't", "İ", "日本 語", "x" * 12]) for _ in range(rng.randrange(30))))
+
+
 def test_vocabulary_words(both):
     own, _ = both
     rng = random.Random(4)
