@@ -301,7 +301,9 @@ def components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD,
     sizes = members.where("n_shingles > 0").groupBy("class").agg(F.max("n_shingles").alias("n"))
     totals = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ranges, groups = int(totals[0] // RANGE_TOKENS) + 12, int(totals[1] // GROUP_CLASSES) + 12
-    shared = tables.keep(_shared_tokens(_packed_tokens(docs, ranges, width), groups), "shared")
+    # a partition for each range, so that a task's share doesn't grow with the input
+    packed = _packed_tokens(docs, ranges, width).repartitionById(ranges, F.col("range"))
+    shared = tables.keep(_shared_tokens(packed, groups), "shared")
     tables.release()
     nodes = tables.keep(_nodes(shared, sizes, groups, threshold), "nodes")
     tables.release()
