@@ -10,7 +10,8 @@ Texts are read once for the features, which are kept as a narrow table, and once
 calibration the held-out rows are counted in a grid of both logits. What the driver gets has the size of the models.
 
 Defined results: a document without words (null or empty) has score 0 and is rejected, and takes no part in the fit; labels that contradict each other for one
-id count as their mean, a tie as bad; a label counts for every row of its id; null ids have no label; null metadata are a value of their own; without labels
+id count as their mean, a tie as bad; a label counts for every row of its id; null ids have no label; where the
+labels that are not held out are of one class, none is held out; null metadata are a value of their own; without labels
 of both classes every document with words scores 1; repeated rows give repeated results and count as often in the fit; an empty table gives an empty result. Sums of
 floating-point numbers depend on their order, so weights may differ between runs in the last digits.
 """
@@ -319,6 +320,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     tables = Tables(docs.sparkSession)
     rows = tables.keep(features(docs, labels, id_col, text_col), "features")
     got = _summed(rows, 4 + 2 * sum(_SIZES), _moments)
+    if min(got[:2]) < 1 <= min(got[:2] + got[2:4]):  # too few labels to hold any out
+        rows = rows.withColumn("held", F.lit(False))
+        got = _summed(rows, 4 + 2 * sum(_SIZES), _moments)
     labelled, held = (got[0], got[1]), (got[2], got[3])
     if min(labelled) < 1:
         return None

@@ -102,5 +102,7 @@ def test_any_table(spark):
     kept = Q.keep_good(df, model)
     assert kept.columns == df.columns and sum(r.doc_id == 1 for r in kept.collect()) == 2
     assert Q.fit(df, labels.where("quality = 1")) is None and Q.fit(df, labels.limit(0)) is None and Q.fit(df.limit(0), labels) is None
+    for one in (3, 4, 6, 8, 9, 10, 11, 12):  # one label of each class, held out or not
+        assert Q.fit(df, labels.where(f"doc_id in ({one}, {one + 100})"), rounds=0) is not None
     assert all(r.score == (r.doc_id not in (200, 201, 202)) for r in Q.classify(df, None).collect())
     assert Q.classify(df.limit(0), None).count() == 0
